@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from basketflow import fixtures as fx
 from basketflow.functions.scalars import half_even, int_div, to_timestamp
+from basketflow.operators import basket as ba
 from basketflow.operators import buckets as bk
+from basketflow.operators import evaluation as ev
 from basketflow.operators import segments as sg
 from basketflow.operators import snapshots as sn
 from basketflow.operators import ticks as tk
@@ -280,3 +282,199 @@ def lot_buckets(spark, sf_dir):
         F.when(F.pmod(s, F.lit(5)) > 0, 0.05 + F.pmod(s * 3, F.lit(10)) * 0.05).alias("first_center"),
     )
     return bk.bucket_table(params, "param_id")
+
+
+# ---- tables and evaluation -------------------------------------------------
+
+
+@register
+def reported_flow(spark, sf_dir):
+    """Net bought value per day, from transactions."""
+    return ev.reported_flow(fx.transactions(spark, sf_dir)).select(
+        day("Date"), cents("primary_flow_vnd")
+    )
+
+
+@register
+def flow_mae(spark, sf_dir):
+    """Error of the detected against the reported flow."""
+    predicted = dt.daily_net_flow(_detected(spark, sf_dir)).withColumnRenamed("run_date", "Date")
+    return ev.flow_mae(predicted, fx.reported_for_run_dates(spark, sf_dir)).select(cents("mae"))
+
+
+@register
+def flow_compare(spark, sf_dir):
+    """Predicted and true flow on the dates that have both."""
+    predicted = dt.daily_net_flow(_detected(spark, sf_dir)).withColumnRenamed("run_date", "Date")
+    dates = fx.trades(fx.table(spark, sf_dir, "events")).select(F.col("run_date").alias("Date"))
+    return ev.compare_flows(
+        dates.distinct(), predicted, fx.reported_for_run_dates(spark, sf_dir)
+    ).select(day("Date"), cents("predicted"), cents("true"))
+
+
+@register
+def daily_traded(spark, sf_dir):
+    """Number of traded tickers and total value per day."""
+    return ev.daily_traded(fx.transactions(spark, sf_dir)).select(
+        day("date"), "n_tickers", cents("total_value")
+    )
+
+
+@register
+def describe_daily(spark, sf_dir):
+    """Summary of the daily ticker counts."""
+    daily = ev.daily_traded(fx.transactions(spark, sf_dir))
+    return ev.describe(daily, "n_tickers").select(
+        "count", *[half_even(F.col(c).cast("double"), 6).alias(c) for c in
+                   ("mean", "std", "min", "q25", "q50", "q75", "max")]
+    )
+
+
+@register
+def equal_width_hist(spark, sf_dir):
+    """Daily ticker counts in ten bins of equal width."""
+    daily = ev.daily_traded(fx.transactions(spark, sf_dir))
+    return ev.equal_width_histogram(daily, "n_tickers").select(
+        "bin",
+        half_even(F.col("bin_left"), 6).alias("bin_left"),
+        half_even(F.col("bin_right"), 6).alias("bin_right"),
+        "count",
+    )
+
+
+@register
+def numlot_quantiles(spark, sf_dir):
+    """Outer quantiles of the lots per similarity."""
+    q = ev.lot_quantiles(fx.lot_data(spark, sf_dir))
+    return q.select(
+        "similarity", "n", *[half_even(F.col(c), 8).alias(c) for c in ("q_low", "q_high")]
+    )
+
+
+@register
+def numlot_histogram(spark, sf_dir):
+    """Log-spaced lot histogram per similarity, with labels."""
+    h = ev.labelled(ev.log_histogram(fx.lot_data(spark, sf_dir)))
+    return h.select(
+        "similarity",
+        "bin",
+        half_even(F.col("bin_left"), 6).alias("bin_left"),
+        half_even(F.col("bin_right"), 6).alias("bin_right"),
+        "count",
+        "bin_label",
+    )
+
+
+def _hpd(spark, sf_dir):
+    return ev.hpd_range(ev.log_histogram(fx.lot_data(spark, sf_dir)), 0.75)
+
+
+@register
+def hpd_range(spark, sf_dir):
+    """Shortest run of bins with three quarters of the lots."""
+    return _hpd(spark, sf_dir).select(
+        "similarity",
+        half_even(F.col("lower_bound"), 6).alias("lower_bound"),
+        half_even(F.col("upper_bound"), 6).alias("upper_bound"),
+        "obs_in_range",
+        "total_obs",
+    )
+
+
+@register
+def hpd_envelope(spark, sf_dir):
+    """Widest bounds over all similarities."""
+    return ev.hpd_envelope(_hpd(spark, sf_dir)).select(
+        *[half_even(F.col(c), 6).alias(c) for c in ("lower_bound", "upper_bound")]
+    )
+
+
+@register
+def detected_daily(spark, sf_dir):
+    """Intraday detections summed per day."""
+    return ev.detected_daily(fx.intraday(spark, sf_dir)).select(
+        day("Date"),
+        "Symbol",
+        "fund_name",
+        *[cents(c) for c in ("arbit_ratio", "unwind_ratio", "arbit_value", "unwind_value", "ab_un_diff")],
+    )
+
+
+@register
+def report_compare(spark, sf_dir):
+    """Detected against reported flow in a date range."""
+    daily = ev.detected_daily(fx.intraday(spark, sf_dir))
+    return ev.report_compare(
+        daily, fx.fund_report(spark, sf_dir), "2024-01-05", "2024-01-20"
+    ).select(day("Date"), cents("pi_detect"), cents("dc_report"))
+
+
+def _composition(spark, sf_dir):
+    return ba.composition(fx.raw_composition(spark, sf_dir).drop("day"))
+
+
+@register
+def composition_clean(spark, sf_dir):
+    """Composition with known columns and parsed dates."""
+    return _composition(spark, sf_dir).withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
+
+
+def _joined(spark, sf_dir):
+    comp = _composition(spark, sf_dir).select(
+        "Date", "nav", "nav_per_unit", "net_unit_change", "creation_unit", "equity_value_basket"
+    )
+    return ba.join_composition(ba.clean_basket(fx.raw_basket(spark, sf_dir)), comp)
+
+
+@register
+def composition_join(spark, sf_dir):
+    """Basket rows with the composition of their day."""
+    return _joined(spark, sf_dir).select(
+        day("Date"), "stock", "shares", "market_value", "net_unit_change", "creation_unit", "equity_value_basket"
+    )
+
+
+@register
+def basket_metrics(spark, sf_dir):
+    """Weight, price, basket quantity and primary flow of each basket row."""
+    m = ba.basket_metrics(_joined(spark, sf_dir))
+    return m.select(
+        day("Date"),
+        "stock",
+        half_even(F.col("weight_pct"), 8).alias("weight_pct"),
+        half_even(F.col("price_per_share"), 6).alias("price_per_share"),
+        "quantity",
+        "net_primary_lot",
+        half_even(F.col("primary_flow_vnd"), 0).alias("primary_flow_vnd"),
+    )
+
+
+def _shifted(spark, sf_dir):
+    return ba.shifted_weights(ba.basket_metrics(_joined(spark, sf_dir)))
+
+
+@register
+def weight_shift(spark, sf_dir):
+    """Volume and weight of the stock's previous day."""
+    return _shifted(spark, sf_dir).select(
+        day("Date"), "stock", "volume", half_even(F.col("weight"), 8).alias("weight")
+    )
+
+
+@register
+def weight_dense(spark, sf_dir):
+    """The same for every stock on every date."""
+    return ba.dense_weights(_shifted(spark, sf_dir)).select(
+        day("Date"), "stock", "volume", half_even(F.col("weight"), 8).alias("weight")
+    )
+
+
+@register
+def weight_wide(spark, sf_dir):
+    """One column per stock, for the stocks a user names."""
+    wide = ba.wide_weights(_shifted(spark, sf_dir), ["1", "2", "3"])
+    return wide.select(
+        day("Date"),
+        *[F.col(f"`{s}_volume`").alias(f"volume_{s}") for s in "123"],
+        *[half_even(F.col(f"`{s}_weight`"), 8).alias(f"weight_{s}") for s in "123"],
+    )

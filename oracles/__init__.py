@@ -1,5 +1,5 @@
 """DuckDB statements the registered queries are checked against."""
 
-from oracles import detection
+from oracles import detection, evaluation
 
-ORACLES: dict[str, str] = {**detection.ORACLES}
+ORACLES: dict[str, str] = {**detection.ORACLES, **evaluation.ORACLES}
