@@ -269,3 +269,126 @@ def raw_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(has_rates, 25000.0 + F.dayofmonth("day")).alias("usd_to_vnd"),
         )
     )
+
+
+# ---- fund pages ------------------------------------------------------------
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+HOLDINGS = ("VIC VN", "VHM VN", "HPG VN", "MSN VN", "FPT VN")
+
+
+def fund_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requested_date, html: one page per order day, written from that day's
+    orders. By day of the month some pages repeat the previous day's date (5),
+    print none (17), have no total row (20), no holdings (25) or no rates (3).
+    """
+    date = F.col("o_orderdate").cast("date")
+    value = F.rint("o_totalprice").cast("bigint")
+    status = F.col("o_orderstatus")
+    per_day = (
+        table(spark, sf_dir, "orders")
+        .groupBy(date.alias("d"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(status == "O").alias("n_open"),
+            F.count_if(status == "F").alias("n_done"),
+            F.sum(value).alias("nav"),
+            *[F.count_if(F.col("o_orderpriority") == p).alias(f"c{i}") for i, p in enumerate(PRIORITIES)],
+            *[
+                F.coalesce(F.sum(F.when(F.col("o_orderpriority") == p, value)), F.lit(0)).alias(f"v{i}")
+                for i, p in enumerate(PRIORITIES)
+            ],
+        )
+    )
+    dom = F.dayofmonth("d")
+
+    def whole(x: Column) -> Column:
+        return F.format_number(x, 0)
+
+    def line(label: str, x: Column) -> Column:
+        return F.concat(F.lit(f"<tr><td>{label}</td><td>TWD "), x, F.lit("</td></tr>\n"))
+
+    def cells(*parts: Column) -> Column:
+        inner = [F.concat(F.lit("<td> "), p, F.lit("</td>")) for p in parts]
+        return F.concat(F.lit("<tr>"), *inner, F.lit("</tr>"))
+
+    def yes_no(c: Column) -> Column:
+        return F.when(c, F.lit("Yes")).otherwise(F.lit("No"))
+
+    printed = F.when(dom == 5, F.date_sub("d", 1)).otherwise(F.col("d"))
+    head = F.when(
+        dom != 17, F.concat(F.lit("<div>Date: "), F.date_format(printed, "yyyy/MM/dd"), F.lit("</div>"))
+    ).otherwise("")
+    info = [
+        line("Amount of Total Advance Subscription", whole(F.col("n") * 1000)),
+        line("Net Asset Value", whole(F.col("nav"))),
+        line("Total Units Outstanding", whole(F.col("n") * 500_000)),
+        F.concat(
+            F.lit("<tr><td>Net Unit Change</td><td>"),
+            whole((F.col("n_open") - F.col("n_done")) * 500_000),
+            F.lit("</td></tr>"),
+        ),
+        line("NAV Per Unit", F.format_number(F.rint(F.col("nav") / F.col("n") / 500) / 1000, 3)),
+        line("Creation/Redemption Unit", whole(F.lit(500_000))),
+        line("Equity Value Per Basket", whole(int_div(F.col("nav"), F.col("n")))),
+        line("Cash Component Per Basket", whole(F.col("n_done") * 100 - 300)),
+        line("Price per Creation Basket", whole(int_div(F.col("nav"), F.col("n")) + 7)),
+        F.concat(
+            F.lit("<tr><td>Fund Purchase</td><td>"),
+            yes_no(F.col("n_open") > F.col("n_done")),
+            F.lit("</td></tr><tr><td>Fund Redemption</td><td>"),
+            yes_no(F.col("n_open") < F.col("n_done")),
+            F.lit("</td></tr>"),
+        ),
+    ]
+    holdings = [
+        cells(
+            F.lit(code),
+            F.lit(f"Name &amp; {i}"),
+            whole(F.col(f"c{i}") * 1000),
+            whole(F.col(f"v{i}")),
+            F.concat(F.format_number(F.rint(F.col(f"v{i}") / F.col("nav") * 10_000) / 100, 2), F.lit("%")),
+        )
+        for i, code in enumerate(HOLDINGS)
+    ]
+    total = F.when(
+        dom != 20, cells(F.lit("Total"), F.lit(""), F.lit(""), whole(F.col("nav")), F.lit("100.00%"))
+    ).otherwise("")
+    late = cells(F.lit("ZZZ VN"), F.lit("late"), F.lit("1"), F.lit("2"), F.lit("3%"))
+    basket = F.when(
+        dom != 25,
+        F.concat(
+            F.lit("<table class='table1'><tr><th>Code</th></tr>"), *holdings, total, late, F.lit("</table>")
+        ),
+    ).otherwise("")
+    cash = F.concat(
+        F.lit('<table class="table1"><tr><td>Cash</td><td>Holdings</td></tr>'),
+        cells(F.lit("Cash (TWD)"), whole(F.col("n") * 11_000)),
+        cells(F.lit("Cash (USD)"), whole(F.col("n") * 13_000)),
+        cells(F.lit("Cash (TWD) adjusted"), whole(F.col("n") * 12_000)),
+        F.when(F.pmod(dom, F.lit(2)) == 0, cells(F.lit("Cash (VND)"), whole(F.col("n") * 17_000))).otherwise(""),
+        cells(F.lit("Payables in TWD"), whole(F.col("n_done") * 19_000)),
+        F.lit("</table>"),
+    )
+    rates = F.when(
+        dom != 3,
+        F.concat(
+            F.lit("<p>1 USD = "),
+            F.format_number(F.lit(30.0) + dom / 10, 1),
+            F.lit(" TWD</p><p>1 USD = "),
+            F.format_number(F.lit(25000.5) + dom, 1),
+            F.lit(" VND</p>"),
+        ),
+    ).otherwise("")
+    html = F.concat(
+        F.lit("<html><head><style>td{width:1px}</style></head><body><!-- Net Asset Value 1 -->"),
+        head,
+        F.lit("<table class='info'>"),
+        *info,
+        F.lit("</table>"),
+        basket,
+        cash,
+        rates,
+        F.lit("</body></html>"),
+    )
+    return per_day.select(F.col("d").alias("requested_date"), html.alias("html"))

@@ -142,13 +142,15 @@ def bucket_table(params: DataFrame, *keep: str) -> DataFrame:
     return with_lot_buckets(params).select(*keep, F.inline("buckets"))
 
 
-def assign_buckets(rows: DataFrame, buckets: Column) -> DataFrame:
+def assign_buckets(rows: DataFrame, buckets: Column, keep_unplaced: bool = False) -> DataFrame:
     """One copy per bucket holding the row's lots. Ends are closed and shared,
-    so a lot on an edge falls into two buckets; a lot outside all is dropped."""
+    so a lot on an edge falls into two buckets. A lot outside all buckets is
+    dropped, or kept without a bucket."""
     lot = F.col("num_lot")
     hits = F.filter(buckets, lambda b: (lot >= b["lo"]) & (lot <= b["hi"]))
+    explode = F.explode_outer if keep_unplaced else F.explode
     return (
-        rows.withColumn("_b", F.explode(hits))
+        rows.withColumn("_b", explode(hits))
         .withColumn("bucket_idx", F.col("_b.bucket_idx"))
         .withColumn("lot_bucket", F.col("_b.lot"))
         .drop("_b")

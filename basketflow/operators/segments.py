@@ -31,10 +31,14 @@ def segments(
     """
     early = F.col(seconds_early) if isinstance(seconds_early, str) else F.lit(seconds_early)
     snapshot = [*keys, "trigger_min"]
-    flagged = similar.withColumn(
+    # Buckets are assigned before the shuffle, so their table never travels. A
+    # lot outside all buckets still proves that its side is present.
+    assigned = assign_buckets(
+        similar.withColumn("n_buckets", F.size(buckets)), buckets, keep_unplaced=True
+    ).drop("buckets")
+    placed = assigned.withColumn(
         "has_buy", F.max(F.col("side") == 1).over(W.partitionBy(*snapshot))
-    )
-    placed = assign_buckets(flagged.withColumn("n_buckets", F.size(buckets)), buckets)
+    ).filter(F.col("bucket_idx").isNotNull())
     lane = W.partitionBy(*snapshot, "side", "bucket_idx")
     ordered = lane.orderBy("time_str", "stock", "ts_ns", "quantity")
     wait = F.col("ts_ns") - F.lag("ts_ns").over(ordered)

@@ -22,7 +22,10 @@ from basketflow.operators import snapshots as sn
 from basketflow.operators import ticks as tk
 from basketflow.params import Calendar, DetectionParams
 from basketflow.plans import detect as dt
-from basketflow.session import prepare
+from basketflow.plans import sweep as sw
+from basketflow.session import prepare, shared_dir
+from basketflow.sources import pages as pg
+from basketflow.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -478,3 +481,147 @@ def weight_wide(spark, sf_dir):
         *[F.col(f"`{s}_volume`").alias(f"volume_{s}") for s in "123"],
         *[half_even(F.col(f"`{s}_weight`"), 8).alias(f"weight_{s}") for s in "123"],
     )
+
+
+# ---- ingestion -------------------------------------------------------------
+
+
+@register
+def page_fields(spark, sf_dir):
+    """Composition fields of every fund page."""
+    rows = pg.composition_fields(fx.fund_pages(spark, sf_dir))
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("requested_date", "data_date")})
+
+
+@register
+def holdings_rows(spark, sf_dir):
+    """Holdings of every page with the page-level fields."""
+    rows = pg.holdings_rows(fx.fund_pages(spark, sf_dir))
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("requested_date", "data_date")})
+
+
+@register
+def cash_labels(spark, sf_dir):
+    """The four cash positions of every page."""
+    rows = pg.cash_labels(fx.fund_pages(spark, sf_dir))
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("requested_date", "data_date")})
+
+
+@register
+def fx_fill(spark, sf_dir):
+    """Missing exchange rates filled from the pages; dates from file names."""
+    files = fx.raw_basket(spark, sf_dir).select(
+        F.concat(F.lit("E1_"), F.date_format("day", "yyyyMMdd"), F.lit(".csv")).alias("file"),
+        "stock_code",
+        "usd_to_twd",
+        "usd_to_vnd",
+    )
+    basket = files.withColumn("Date", pg.date_of_file(F.col("file"))).drop("file")
+    filled = pg.fill_rates(basket, pg.page_rates(fx.fund_pages(spark, sf_dir)))
+    return filled.withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
+
+
+@register
+def missing_dates(spark, sf_dir):
+    """Calendar days whose file is not stored yet, with the weekend mark."""
+    days = fx.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("data_date"))
+    stored = days.filter(F.pmod(F.dayofmonth("data_date"), F.lit(2)) == 0)
+    missing = pg.missing_dates(stored, F.min("data_date"), F.max("data_date"))
+    return missing.select(day("data_date"), pg.is_weekend(F.col("data_date")).cast("int").alias("weekend"))
+
+
+@register
+def ingest_status(spark, sf_dir):
+    """Requested dates per outcome."""
+    verdicts = pg.ingest_status(fx.fund_pages(spark, sf_dir))
+    return verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register
+def first_writer_sink(spark, sf_dir):
+    """Pages written once per data date; a second write adds nothing."""
+    path = shared_dir(spark, "compositions")
+    rows = pg.composition_fields(fx.fund_pages(spark, sf_dir))
+    weekdays = rows.filter(~pg.is_weekend(F.col("requested_date")))
+    firsts = pg.first_pages(weekdays).select("data_date", "requested_date", "nav")
+    tb.append_new_dates(firsts, path)
+    tb.append_new_dates(firsts.withColumn("nav", F.lit("changed")), path)
+    return spark.read.parquet(path).select(day("data_date"), day("requested_date"), "nav")
+
+
+# ---- parameter search ------------------------------------------------------
+
+
+def _hashed(i: int) -> Column:
+    """Uniform numbers another engine can reproduce."""
+    return F.pmod(F.col("param_id") * (7919 + 2 * i) + 104_729 * (i + 1), F.lit(10_007)) / 10_007.0
+
+
+@register
+def param_grid(spark, sf_dir):
+    """A parameter set per order, over both stages' ranges."""
+    ids = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("param_id"))
+    both = {**sw.DETECTION_RANGES, **sw.BUCKET_RANGES}
+    grid = sw.sample(ids, both, {}, _hashed)
+    rounded = [c for c, t in grid.dtypes if t == "double"]
+    return grid.withColumns({c: half_even(F.col(c), 9) for c in rounded})
+
+
+def _trials(spark, sf_dir):
+    k = F.col("n_nationkey")
+
+    def pick(*values):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(k, F.lit(len(values))).cast("int") + 1)
+
+    params = fx.table(spark, sf_dir, "nation").select(
+        k.cast("bigint").alias("param_id"),
+        pick(16, 5, 25).alias("seconds_early"),
+        pick(0.35, 0.25).alias("tolerance"),
+        pick(45, 50, 60).alias("seconds_gap"),
+        pick(2, 3, 4, 5, 9).alias("min_unique"),
+        pick(2, 3, 4).alias("min_segment"),
+        pick(0, 3, 4, 5).alias("core_threshold"),
+        (0.02 + k / 100.0).alias("start"),
+        (F.lit(50) + k).cast("double").alias("stop"),
+        (F.lit(20) + k).cast("int").alias("num"),
+        pick(0.25, 0.5).alias("step"),
+        (1.0 + k / 50.0).alias("growth"),
+        pick(3.0, 5.0, 9.0).alias("int_threshold"),
+        pick(0.1, 0.25, 0.5).alias("first_center"),
+    )
+    m = fx.market(spark, sf_dir)
+    evaluated = sw.evaluate(
+        m.trades,
+        m.quotes,
+        m.weights,
+        fx.reported_for_run_dates(spark, sf_dir),
+        params,
+        ["2024-01-01", "2024-01-02", "2024-01-03"],
+    )
+    return sw.trial_metrics(evaluated, params)
+
+
+@register
+def param_sweep(spark, sf_dir):
+    """Error of each parameter set that found something on every date."""
+    return _trials(spark, sf_dir).select("param_id", cents("mae"))
+
+
+@register
+def sweep_top10(spark, sf_dir):
+    """The ten best parameter sets."""
+    ranked = ev.top_trials(_trials(spark, sf_dir).withColumn("mae", half_even(F.col("mae"), 2)))
+    return ranked.select("param_id", "tolerance", "seconds_gap", "min_unique", "min_segment", "mae")
+
+
+@register
+def best_per_stage(spark, sf_dir):
+    """Trials logged, then the best of each of two groups kept."""
+    path = shared_dir(spark, "trials")
+    trials = _trials(spark, sf_dir).select(
+        F.when(F.col("param_id") < 12, "stage1").otherwise("stage2").alias("stage"),
+        "param_id",
+        cents("mae"),
+    )
+    tb.append_trials(trials, path)
+    return ev.best_per_stage(spark.read.parquet(path))

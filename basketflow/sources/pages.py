@@ -21,8 +21,16 @@ from basketflow.functions.text import (
 )
 
 
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later projections refer to many times. As the output
+    of a generator they are computed once per row instead of being pasted into
+    every expression that uses them."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def _with_text(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("text", visible_text(F.col("html")))
+    return _computed(pages, text=visible_text(F.col("html")))
 
 
 def _data_date() -> Column:
@@ -82,59 +90,72 @@ def _holding_struct(cells: Column) -> Column:
 def _assets(pages: DataFrame) -> DataFrame:
     """Adds `holdings` (array of structs), `total` (cells of the total row) and
     `cash_rows` to the page row."""
-    with_tables = _with_text(pages).withColumns(
-        {
-            "rows": F.filter(
-                _cell_rows(_first_table(lambda t: F.contains(t, F.lit(pf.HOLDINGS_MARK)))),
-                lambda c: F.size(c) >= 5,
+    def holdings_table(t: Column) -> Column:
+        return F.contains(t, F.lit(pf.HOLDINGS_MARK))
+
+    def cash_table(t: Column) -> Column:
+        return contains_all(t, pf.CASH_MARKS) & ~holdings_table(t)
+
+    df = _computed(
+        _with_text(pages), tables=elements_of_class(F.col("html"), "table", pf.TABLE_CLASS)
+    )
+    df = _computed(
+        df.drop("html"),
+        basket_table=F.get(F.filter("tables", holdings_table), F.lit(0)),
+        money_table=F.get(F.filter("tables", cash_table), F.lit(0)),
+    )
+    df = _computed(
+        df.drop("tables"),
+        rows=_cell_rows(F.col("basket_table")),
+        cash_rows=_cell_rows(F.col("money_table")),
+    )
+    df = _computed(
+        df.withColumn("rows", F.filter("rows", lambda c: F.size(c) >= 5)).withColumn(
+            "cash_rows", F.filter("cash_rows", lambda c: F.size(c) >= 2)
+        ),
+        total_at=F.array_position(
+            F.transform(
+                F.filter("rows", lambda c: F.size(c) >= 5),
+                lambda c: F.contains(c[0], F.lit(pf.TOTAL_MARK)),
             ),
-            "cash_rows": F.filter(
-                _cell_rows(
-                    _first_table(
-                        lambda t: contains_all(t, pf.CASH_MARKS)
-                        & ~F.contains(t, F.lit(pf.HOLDINGS_MARK))
-                    )
-                ),
-                lambda c: F.size(c) >= 2,
+            True,
+        ),
+    )
+
+    def before_total(cells: Column, i: Column) -> Column:
+        open_ended = F.coalesce(F.col("total_at"), F.lit(0)) == 0
+        return (open_ended | (i + 1 < F.col("total_at"))) & F.contains(cells[0], F.lit(pf.STOCK_MARK))
+
+    return df.withColumns(
+        {
+            "holdings": F.transform(F.filter("rows", before_total), _holding_struct),
+            "total": F.when(
+                F.col("total_at") > 0, F.get("rows", (F.col("total_at") - 1).cast("int"))
             ),
         }
     )
-    is_total = F.transform("rows", lambda c: F.contains(c[0], F.lit(pf.TOTAL_MARK)))
-    return (
-        with_tables.withColumn("total_at", F.array_position(is_total, True))
-        .withColumn(
-            "holdings",
-            F.transform(
-                F.filter(
-                    "rows",
-                    lambda c, i: ((F.col("total_at") == 0) | (i + 1 < F.col("total_at")))
-                    & F.contains(c[0], F.lit(pf.STOCK_MARK)),
-                ),
-                _holding_struct,
-            ),
-        )
-        .withColumn("total", F.when(F.col("total_at") > 0, F.get("rows", F.col("total_at") - 1)))
+
+
+def _last_value(fragments: tuple[str, ...], taken: list[tuple[str, ...]]) -> Column:
+    def matches(cells: Column) -> Column:
+        hit = contains_all(cells[0], fragments)
+        for other in taken:
+            hit = hit & ~contains_all(cells[0], other)
+        return hit
+
+    return no_commas(
+        F.element_at(F.concat(F.array(F.lit(None).cast("string")),
+                              F.transform(F.filter("cash_rows", matches), lambda c: c[1])), -1)
     )
 
 
 def cash_fields() -> list[Column]:
     """The last row whose label matches wins; a label counts for the first
     column it matches."""
-    out, earlier = [], None
+    out, taken = [], []
     for fragments, column in pf.CASH_LABELS:
-
-        def matches(c, fragments=fragments, earlier=earlier):
-            hit = contains_all(c[0], fragments)
-            return hit if earlier is None else hit & ~earlier(c)
-
-        rows = F.filter("cash_rows", matches)
-        out.append(no_commas(F.get(F.get(rows, F.size(rows) - 1), F.lit(1))).alias(column))
-
-        def earlier_(c, fragments=fragments, before=earlier):
-            hit = contains_all(c[0], fragments)
-            return hit if before is None else hit | before(c)
-
-        earlier = earlier_
+        out.append(_last_value(fragments, list(taken)).alias(column))
+        taken.append(fragments)
     return out
 
 
@@ -208,11 +229,10 @@ def date_of_file(name: Column) -> Column:
 
 
 def fill_rates(basket: DataFrame, rates: DataFrame) -> DataFrame:
-    """Rates for the days that lack them, from the page of the day. Only the
-    days to be filled take part in the join, both sides having one row a day
-    or fewer per stock."""
+    """Rates for the days that lack them, from the page requested for the day
+    (one row per day)."""
     r = rates.select(
-        F.col("data_date").alias("Date"),
+        F.col("requested_date").alias("Date"),
         F.col("usd_to_twd").alias("page_twd"),
         F.col("usd_to_vnd").alias("page_vnd"),
     ).filter("page_twd IS NOT NULL OR page_vnd IS NOT NULL")

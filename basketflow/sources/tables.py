@@ -104,12 +104,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def append_new_dates(rows: DataFrame, path: str) -> None:
     """First writer wins: only data dates the table does not hold yet are
-    added."""
+    added. Partitioned by month: a directory per day would leave one tiny file
+    for each."""
     spark = rows.sparkSession
     if _exists(spark, path):
-        stored = spark.read.parquet(path).select(F.col("data_date").cast("date")).distinct()
+        stored = spark.read.parquet(path).select("data_date").distinct()
         rows = rows.join(stored, "data_date", "left_anti")
-    rows.write.mode("append").partitionBy("data_date").parquet(path)
+    month = rows.withColumn("data_month", F.date_format("data_date", "yyyyMM"))
+    month.repartition("data_month").write.mode("append").partitionBy("data_month").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -118,3 +120,18 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def append_trials(trials: DataFrame, path: str) -> None:
     trials.write.mode("append").parquet(path)
+
+
+def stored_trials(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if _exists(spark, path) else None
+
+
+def upsert_best(best: DataFrame, path: str) -> None:
+    """Replace the stored best rows; the stage is the partition, and only the
+    stages in the frame are rewritten."""
+    (
+        best.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("stage")
+        .parquet(path)
+    )

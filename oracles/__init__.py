@@ -1,5 +1,5 @@
 """DuckDB statements the registered queries are checked against."""
 
-from oracles import detection, evaluation
+from oracles import detection, evaluation, ingest, search
 
-ORACLES: dict[str, str] = {**detection.ORACLES, **evaluation.ORACLES}
+ORACLES: dict[str, str] = {**detection.ORACLES, **evaluation.ORACLES, **ingest.ORACLES, **search.ORACLES}
