@@ -113,4 +113,9 @@ def trade_side(trades: DataFrame) -> DataFrame:
 def in_calendar(trigger_min: Column, calendar: Calendar) -> Column:
     """Is this epoch minute a trigger? Hours are local."""
     local = trigger_min + F.lit(calendar.utc_offset_hours * 60)
-    return F.pmod(int_div(local, 60), F.lit(24)).isin(*calendar.hours)
+    inside = F.pmod(int_div(local, 60), F.lit(24)).isin(*calendar.hours)
+    if calendar.after_minute is not None:
+        inside = inside & (trigger_min > calendar.after_minute)
+    if calendar.upto_minute is not None:
+        inside = inside & (trigger_min <= calendar.upto_minute)
+    return inside

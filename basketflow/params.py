@@ -15,6 +15,10 @@ class Calendar:
     hours: tuple[int, ...] = (9, 10, 11, 13, 14)
     utc_offset_hours: int = 7
     lookback_minutes: int = 5
+    # Optional bounds in epoch minutes: triggers after the first, up to and
+    # including the second. A live run sets them to the minutes just closed.
+    after_minute: int | None = None
+    upto_minute: int | None = None
 
     def __post_init__(self):
         # Snapshot membership of a row is held in the bits of one BIGINT.

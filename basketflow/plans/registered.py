@@ -26,6 +26,7 @@ from basketflow.plans import sweep as sw
 from basketflow.session import prepare, shared_dir
 from basketflow.sources import pages as pg
 from basketflow.sources import tables as tb
+from basketflow.streaming import live as lv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -625,3 +626,59 @@ def best_per_stage(spark, sf_dir):
     )
     tb.append_trials(trials, path)
     return ev.best_per_stage(spark.read.parquet(path))
+
+
+# ---- streaming -------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir):
+    schema = fx.table(spark, sf_dir, "events").schema
+    return lv.parquet_stream(spark, sf_dir, schema, "events.parquet")
+
+
+@register
+def stream_net_flow(spark, sf_dir):
+    """Net flow per minute of a tick stream, final minutes only."""
+    root = shared_dir(spark, "minute-flow")
+    value = F.col("value") * F.col("volume")
+    flows = fx.clocked_events(_event_stream(spark, sf_dir)).select(
+        to_timestamp(F.col("ts_ns")).alias("ts"),
+        F.when(F.col("event_type") == "click", value)
+        .when(F.col("event_type") == "purchase", -value)
+        .otherwise(0.0)
+        .alias("signed_value"),
+    )
+    query = (
+        lv.minute_flow(flows)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/offsets")
+        .trigger(availableNow=True)
+        .start(f"{root}/out")
+    )
+    query.awaitTermination()
+    out = spark.read.schema("minute timestamp, net_flow double, n bigint").parquet(f"{root}/out")
+    return out.select(F.unix_micros("minute").alias("minute_us"), cents("net_flow"), "n")
+
+
+@register
+def stream_detect(spark, sf_dir):
+    """The detection run minute by minute on a tick stream."""
+    events = _event_stream(spark, sf_dir)
+    weights = fx.weights(fx.table(spark, sf_dir, "events"))
+    detector = lv.LiveDetector(shared_dir(spark, "live"), weights, PARAMS)
+    clocked = fx.clocked_events(events)
+    is_trade = F.col("event_type").isin(*fx.TRADE_EVENTS)
+    ticks = clocked.filter(is_trade | F.col("event_type").isin(*fx.QUOTE_EVENTS)).select(
+        "run_date",
+        "stock",
+        "ts_ns",
+        "src_seq",
+        is_trade.alias("is_trade"),
+        F.when(is_trade, F.col("value")).alias("price"),
+        F.when(is_trade, F.col("volume")).alias("volume"),
+        F.when(~is_trade, F.col("value") * 0.999).alias("bid"),
+        F.when(~is_trade, F.col("value") * 1.001).alias("ask"),
+    )
+    detector.start(ticks).awaitTermination()
+    detector.flush(spark)
+    return detection_columns(detector.detections(spark))

@@ -38,7 +38,7 @@ pairs AS (
          count(DISTINCT j.stock) AS n
   FROM blocks i JOIN blocks j
     ON i.run_date = j.run_date AND i.trigger_min = j.trigger_min AND i.side = j.side
-  JOIN kinds k ON j.ts_ns BETWEEN i.block_start_ns AND i.block_start_ns + k.seconds_gap * 1000000000
+  JOIN kinds k ON j.ts_ns BETWEEN i.block_start_ns AND i.block_start_ns + CAST(k.seconds_gap AS BIGINT) * 1000000000
      AND j.num_lot >= i.num_lot * (1.0::DOUBLE - k.tolerance)
      AND j.num_lot <= i.num_lot * (1.0::DOUBLE + k.tolerance)
   GROUP BY ALL),
