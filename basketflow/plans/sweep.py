@@ -83,10 +83,19 @@ def sample(ids: DataFrame, ranges: dict, fixed: dict, uniform) -> DataFrame:
 
 
 def random_params(spark: SparkSession, stage: int, trials: int, fixed: dict, seed: int = 42) -> DataFrame:
-    """Seeded random trials of one stage; `fixed` holds the other stage's."""
+    """Seeded random trials of one stage; `fixed` holds the other stage's.
+
+    The numbers are hashes of (trial, seed, parameter): a trial keeps its
+    values when a lost task is repeated or the search resumes on a cluster of
+    another size.
+    """
     ranges = DETECTION_RANGES if stage == 1 else BUCKET_RANGES
     ids = spark.range(trials).withColumnRenamed("id", "param_id")
-    return sample(ids, ranges, fixed, lambda i: F.rand(seed + i))
+
+    def uniform(i: int) -> Column:
+        return F.pmod(F.xxhash64("param_id", F.lit(seed), F.lit(i)), F.lit(2**52)) / F.lit(float(2**52))
+
+    return sample(ids, ranges, fixed, uniform)
 
 
 def evaluate(

@@ -11,6 +11,7 @@ from basketflow.operators import basket as ba
 from basketflow.operators import evaluation as ev
 from basketflow.params import DetectionParams
 from basketflow.plans.detect import RESULT, detect_flow, result_layout
+from basketflow.plans import sweep as sw
 from basketflow.sources import pages as pg
 from basketflow.sources import tables as tb
 from basketflow.streaming.live import LiveDetector, parquet_stream, tick_rows
@@ -129,3 +130,20 @@ def test_live_equals_batch(spark, tmp_path):
     want = detect_flow(m.trades, m.quotes, m.weights, params).select(*keys).collect()
     got = live.detections(spark).select(*keys).collect()
     assert sorted(got) == sorted(want) and want
+
+
+def test_two_stage_search_logs_and_resumes(spark, tmp_path, monkeypatch):
+    ranges = {**sw.DETECTION_RANGES, "min_unique": (2, 3, 1), "min_segment": (2, 3, 1), "core_threshold": (0, 2, 1)}
+    monkeypatch.setattr(sw, "DETECTION_RANGES", ranges)
+    m = fx.market(spark, SF, 3000)
+    args = (m.trades, m.quotes, m.weights, fx.reported_for_run_dates(spark, SF), ["2024-01-01", "2024-01-02"], str(tmp_path))
+    best = {r.stage: r for r in sw.two_stage(*args, stage1_trials=3, stage2_trials=2).collect()}
+    assert set(best) == {"stage1", "stage2"}
+    assert all(best["stage2"][c] == best["stage1"][c] for c in ranges)
+    logged = spark.read.parquet(str(tmp_path / "trials")).count()
+    sw.two_stage(*args, stage1_trials=3, stage2_trials=2)
+    spark.catalog.clearCache()
+    assert spark.read.parquet(str(tmp_path / "trials")).count() == logged
+    tb.upsert_best(spark.createDataFrame([("stage1", 1, 2.0)], "stage string, param_id int, mae double"), str(tmp_path / "best"))
+    tb.upsert_best(spark.createDataFrame([("stage2", 4, 1.0)], "stage string, param_id int, mae double"), str(tmp_path / "best"))
+    assert spark.read.parquet(str(tmp_path / "best")).count() == 2
