@@ -88,7 +88,7 @@ def eligible(
     clock_offset_hours: int = 0,
     keys: tuple[str, ...] = ("run_date",),
 ) -> DataFrame:
-    """Drop rows of the last seconds before the snapshot's reference time.
+    """Drop rows of the last seconds before the snapshot's cut-off time.
 
     Live: the trigger's local time, capped at 14:30 local. Otherwise: 14:30 on
     the day of the snapshot's last row. `clock_offset_hours` shifts the row's
