@@ -147,3 +147,19 @@ def test_two_stage_search_logs_and_resumes(spark, tmp_path, monkeypatch):
     tb.upsert_best(spark.createDataFrame([("stage1", 1, 2.0)], "stage string, param_id int, mae double"), str(tmp_path / "best"))
     tb.upsert_best(spark.createDataFrame([("stage2", 4, 1.0)], "stage string, param_id int, mae double"), str(tmp_path / "best"))
     assert spark.read.parquet(str(tmp_path / "best")).count() == 2
+
+
+def test_readers_give_the_engine_columns(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [("A", 1, 2.0, 3.0, "2024-01-01"), ("B", 2, 2.5, 4.0, "2024-01-02")],
+        "symbol string, ts bigint, c double, mv double, run_date string",
+    )
+    raw.write.partitionBy("run_date").parquet(str(tmp_path / "ticks"))
+    (row,) = tb.as_trades(tb.read_ticks(spark, str(tmp_path / "ticks"), ["2024-01-02"])).collect()
+    assert (row.run_date, row.stock, row.ts_ns, row.price, row.volume) == (date(2024, 1, 2), "B", 2, 2.5, 4.0)
+    book = raw.select("symbol", "ts", F.col("c").alias("bb0_p"), F.col("mv").alias("bo0_p"), "run_date")
+    book.write.partitionBy("run_date").parquet(str(tmp_path / "book"))
+    quotes = tb.as_quotes(tb.read_ticks(spark, str(tmp_path / "book"))).orderBy("ts_ns").collect()
+    assert [(q.bid, q.ask) for q in quotes] == [(2.0, 3.0), (2.5, 4.0)]
+    w = spark.createDataFrame([("2024-01-01", "A", 100.0, 0.1)], "Date string, stock string, volume double, weight double")
+    assert tb.as_weights(w).first().run_date == date(2024, 1, 1)
