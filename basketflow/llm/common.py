@@ -143,3 +143,30 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def distinct_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, digest) and texts (shard, digest, text) of `docs`, whose copies fall into one shard.
+
+    Copies go before the shuffle, once per input partition, so that a group of copies that holds a third of all rows sends
+    one text from each partition. What is left of them within a shard, `first_copies` removes.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    shards = shard_count(rows, shard_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            digests = batch.column("digest").to_pylist()
+            new = [not (d in seen or seen.add(d)) for d in digests]
+            yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+
+    texts = rows.select("digest", "text").mapInArrow(run, "digest binary, text string")
+    return rows.select("doc_id", "digest"), texts.select(F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "text")
+
+
+def first_copies(rows: pa.Table) -> pa.Table:
+    """The rows of one shard with each digest once, in the order of the digests."""
+    digests = rows.column("digest").to_pylist()
+    at = {d: k for k, d in enumerate(digests)}
+    return rows.take(pa.array([at[d] for d in sorted(at)], pa.int64()))

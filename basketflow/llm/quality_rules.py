@@ -125,9 +125,14 @@ def _all(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, [c.column() for c in rule], F.lit(True))
 
 
+def _bin(value: Column, cuts: list[float]) -> Column:
+    """How many of the cuts lie below the value."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: value > c))
+
+
 def _tally(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str, int], list[int]]:
     """Good and bad rows per feature and bin, of the growing part: one job over the labelled rows, pre-aggregated."""
-    bins = F.array(*[F.struct(F.lit(f).alias("f"), F.size(F.filter(F.array(*[F.lit(c) for c in cuts[f]]), lambda c, f=f: F.col(f) > c)).alias("bin")) for f in cuts])
+    bins = F.array(*[F.struct(F.lit(f).alias("f"), _bin(F.col(f), at).alias("bin")) for f, at in cuts.items()])
     counted = rows.select(F.explode(bins).alias("x"), "bad").groupBy("x.f", "x.bin").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
     return {(r["f"], r["bin"]): [r["n"] - r["bad"], r["bad"]] for r in counted.collect()}
 
@@ -182,7 +187,9 @@ def learn(
     found = {r["bad"]: r for r in rows.groupBy("bad").agg(*[F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES]).collect()}
     if len(found) < 2:
         return []
-    cuts = {f: sorted({*found[0][f], *found[1][f]}) for f in FEATURES}
+    # Midway between them, so that what a rule covers keeps a margin to what it does not.
+    values = {f: sorted({*found[0][f], *found[1][f]}) for f in FEATURES}
+    cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in values.items()}
     rules: list[Rule] = []
     left = rows
     while len(rules) < most_rules:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketflow.llm import decontaminate, packing, pii, quality_rules, toxicity, warc
+from basketflow.llm import decontaminate, ngram_join, packing, pii, quality_rules, suffix_dedup, toxicity, warc
 from basketflow.llm.common import scratch, table
 
 
@@ -15,6 +15,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +51,6 @@ def op9_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_toxicity, op6_warc_revisit, op7_cost_packing, op8_pii_deobfuscation, op9_suffix_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_quality_rules, op5_toxicity, op6_warc_revisit, op7_cost_packing, op8_pii_deobfuscation, op9_suffix_decontamination)}
 
 ORACLES: dict[str, str] = {}
