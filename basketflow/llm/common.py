@@ -145,24 +145,33 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         lo = hi
 
 
-def distinct_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, digest) and texts (shard, digest, text) of `docs`, whose copies fall into one shard.
+def new_copies(batch: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
+    """The rows whose digest is not in `seen`, to which it goes."""
+    new = [not (d in seen or seen.add(d)) for d in batch.column("digest").to_pylist()]
+    return batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
 
-    Copies go before the shuffle, once per input partition, so that a group of copies that holds a third of all rows sends
-    one text from each partition. What is left of them within a shard, `first_copies` removes.
-    """
+
+def digested(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, shard, digest, text) of each row; equal texts have equal digests and shards."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("digest", F.unhex(F.md5("text")))
     shards = shard_count(rows, shard_bytes)
 
+    return rows.select("doc_id", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "text")
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(shard, digest, text) of `digested` rows with the copies of each input partition once.
+
+    So a group of copies that holds a third of all rows sends one text from each partition. What is left of them within a
+    shard, `first_copies` removes.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            digests = batch.column("digest").to_pylist()
-            new = [not (d in seen or seen.add(d)) for d in digests]
-            yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+            yield new_copies(batch, seen)
 
-    texts = rows.select("digest", "text").mapInArrow(run, "digest binary, text string")
-    return rows.select("doc_id", "digest"), texts.select(F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "text")
+    return rows.select("shard", "digest", "text").mapInArrow(run, "shard int, digest binary, text string")
 
 
 def first_copies(rows: pa.Table) -> pa.Table:

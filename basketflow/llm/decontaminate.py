@@ -30,7 +30,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: Word ids in a sort key; ids take _BITS bits each.
 _WIDE, _BITS = 3, 21
 
-_STATE = "doc_id long, text string, n_words long, spans array<long>, items array<string>, longest long, longest_item string, longest_start long"
+#: What the passes over the blocks fill in.
+_FOUND = ["n_words", "spans", "items", "longest", "longest_item", "longest_start"]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -161,9 +162,8 @@ def _pass(docs: DataFrame, bench: Benchmark) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SHARD_BYTES):
-                rows = batch.to_pydict()
-                found = _search(rows["text"], sent.value)
-                for k, (n, matches) in enumerate(found):
+                rows = batch.select(_FOUND).to_pydict()
+                for k, (n, matches) in enumerate(_search(batch.column("text").to_pylist(), sent.value)):
                     rows["n_words"][k] = n
                     rows["spans"][k] = rows["spans"][k] + [x for a, b, _, _ in matches for x in (a, b)]
                     rows["items"][k] = sorted({*rows["items"][k], *(sent.value.names[i] for _, _, i, _ in matches)})
@@ -171,9 +171,9 @@ def _pass(docs: DataFrame, bench: Benchmark) -> DataFrame:
                         a, b, i, _ = min(matches, key=lambda m: (m[0] - m[1], m[0], m[2]))
                         if b - a > rows["longest"][k]:
                             rows["longest"][k], rows["longest_item"][k], rows["longest_start"][k] = b - a, sent.value.names[i], a
-                yield pa.RecordBatch.from_pydict(rows, schema=batch.schema)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) if f.name in rows else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 
-    return docs.mapInArrow(run, _STATE)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _covered(spans: list[int]) -> int:
@@ -210,7 +210,25 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]
     n = -(-total // block_bytes)
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r["name"], r["text"]) for r in part.collect()]
+        yield [(r["name"], r["text"]) for r in part.distinct().collect()]
+
+
+def _searched(rows: DataFrame, bench: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """`rows`, which have a text, with what all blocks of the benchmark find in it."""
+    none = {"n_words": "long", "spans": "array<long>", "items": "array<string>", "longest": "long", "longest_item": "string", "longest_start": "long"}
+    start = {"n_words": F.lit(0), "longest": F.lit(0), "spans": F.array(), "items": F.array()}
+    rows = rows.withColumns({n: start.get(n, F.lit(None)).cast(kind) for n, kind in none.items()})
+    for block in [*_blocks(bench, block_bytes)] or [[]]:
+        rows = _pass(rows, Benchmark(block, window))
+    return rows
+
+
+def clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` without those that share a window with an item, all columns as they were."""
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"), F.col("text").isNull().alias("absent"), text_of().alias("text"))
+    kept = _searched(held, bench, window, block_bytes).where(F.size("spans") == 0)
+    text = F.when(~F.col("absent"), F.col("text")).alias("text")
+    return kept.select(*[text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def scan(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -222,22 +240,7 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int =
     NULL or empty texts have no words. Items with a NULL id go by the name `null`. Items with equal ids count as one.
     Repeated rows are reported once each; other columns are ignored; with an empty benchmark nothing is contaminated.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        text_of().alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<long>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-        F.lit(0).cast("long").alias("longest"),
-        F.lit(None).cast("string").alias("longest_item"),
-        F.lit(None).cast("long").alias("longest_start"),
-    )
-    passes = 0
-    for block in _blocks(bench, block_bytes):
-        rows = _pass(rows, Benchmark(block, window))
-        passes += 1
-    if not passes:
-        rows = _pass(rows, Benchmark([], window))
+    rows = _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), bench, window, block_bytes)
     return rows.mapInArrow(
         _report,
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_start long",

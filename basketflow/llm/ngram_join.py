@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import ASCII_LOWER, NOT_SPACE, batch_texts, distinct_texts, first_copies, mixed, word_hashes, written
+from basketflow.llm.common import ASCII_LOWER, NOT_SPACE, batch_texts, digested, distinct_texts, first_copies, mixed, word_hashes, written
 from basketflow.llm.components import connected_components
 
 WORDS = 5
@@ -251,7 +251,8 @@ def scan(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     their component is their own id. Rows that repeat a doc_id are one document if the text is equal. NULL ids are kept and
     take no part in the minimum.
     """
-    members, texts = distinct_texts(docs)
+    rows = digested(docs)
+    members, texts = rows.select("doc_id", "digest"), distinct_texts(rows)
     buckets = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 8 // (BYTES_PER_SHINGLE * BUCKET_BYTES)))
     found = written(_prefixes(texts, _shared_shingles(texts, buckets, words), percent, words), "prefixes")
     sets = written(found.where(F.col("node").isNotNull()).dropDuplicates(["node"]).drop("digest"), "sets")

@@ -242,3 +242,18 @@ def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return source.mapInArrow(run, SCHEMA + (", redacted string" if with_text else ""))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """`docs` with names of kinds in place of personal data, `n_chars` (if there) counted anew, other columns as they are.
+
+    A NULL text stays NULL.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else redacted(t, find(t)[1]) for t in batch.column("text").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, pa.string()))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

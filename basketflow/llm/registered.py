@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketflow.llm import decontaminate, ngram_join, packing, pii, quality_rules, suffix_dedup, toxicity, warc
+from basketflow.llm import decontaminate, license_scan, ngram_join, packing, pii, quality_rules, quotation, suffix_dedup, toxicity, warc
 from basketflow.llm.common import scratch, table
 
 
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -51,6 +55,24 @@ def op9_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_quality_rules, op5_toxicity, op6_warc_revisit, op7_cost_packing, op8_pii_deobfuscation, op9_suffix_decontamination)}
+def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_ngram_jaccard,
+        op3_quality_rules,
+        op4_license_scan,
+        op5_toxicity,
+        op6_warc_revisit,
+        op7_cost_packing,
+        op8_pii_deobfuscation,
+        op9_suffix_decontamination,
+        op10_quotation_threads,
+    )
+}
 
 ORACLES: dict[str, str] = {}

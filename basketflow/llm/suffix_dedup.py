@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import batch_texts, distinct_texts, first_copies, mixed, slices, written
+from basketflow.llm.common import batch_texts, digested, distinct_texts, first_copies, mixed, new_copies, slices, written
 
 LENGTH = 200
 #: Leading bytes that anchors are chosen by.
@@ -197,11 +197,13 @@ def scan(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Data
     with `with_text` also `kept`, the rest as binary (it may end within a character). NULL is an empty text; shorter texts
     than `length` lose nothing. A repeated row repeats its whole text.
     """
-    members, texts = distinct_texts(docs)
+    rows = digested(docs)
+    members, texts = rows.select("doc_id", "digest"), distinct_texts(rows)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
         for whole in batches:
-            for batch in slices(whole, "text", 16 * _CHUNK):
+            for batch in slices(new_copies(whole, known), "text", 16 * _CHUNK):
                 shard, parts = batch.column("shard").to_numpy(), []
                 for lo, _, _, at, (first, _, _, key, span) in _anchored(batch.column("text"), length):
                     parts.append((key, span, shard[lo + np.searchsorted(at, first, "right") - 1]))
@@ -210,7 +212,7 @@ def scan(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Data
                 _, at, n = np.unique(code, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": key[at], "span": span[at], "shard": of[at].astype(np.int32), "n": np.minimum(n, 2).astype(np.int8)})
 
-    seen = written(texts.mapInArrow(local, "key long, span long, shard int, n byte"), "suffixes")
+    seen = written(rows.select("shard", "digest", "text").mapInArrow(local, "key long, span long, shard int, n byte"), "suffixes")
     led = seen.groupBy("key").agg(F.sum("n").alias("c"), F.min("span").alias("least"), F.max("span").alias("most")).where("c > 1").select("key", (F.col("least") < F.col("most")).alias("several"))
     shared = written(seen.join(led, "key"), "shared")
     spans = shared.groupBy("key", "span").agg((F.sum("n") > 1).alias("full"), F.min("shard").alias("from"))
