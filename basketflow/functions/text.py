@@ -6,12 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+# The named entities that pages use; &amp; comes last.
+_ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"),
+    ("&rdquo;", "”"), ("&ldquo;", "“"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"), ("&amp;", "&"),
+)
+_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _decoded(text: Column) -> Column:
+    """Numeric character references as characters; those beyond Unicode stay."""
+    parts = F.split(text, rf"(?={_NUMERIC})")
+
+    def one(part: Column) -> Column:
+        mark = F.regexp_extract(part, rf"^({_NUMERIC})", 1)
+        is_hex = F.substr(mark, F.lit(3), F.lit(1)).isin("x", "X")
+        digits = F.regexp_replace(mark, r"[&#;xX]", "")
+        code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        valid = (mark != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # UTF-32 is a character's number as four bytes.
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(32))), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, F.substr(part, F.length(mark) + 1))).otherwise(part)
+
+    return F.when(text.contains("&#"), F.concat_ws("", F.transform(parts, one))).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:
     """Text of a piece of HTML, tags as blanks, blanks collapsed."""
     text = F.regexp_replace(F.regexp_replace(html, _HIDDEN, " "), r"(?s)<[^>]*>", " ")
+    text = _decoded(text)
     for entity, plain in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
@@ -27,21 +50,16 @@ def no_commas(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(""))
 
 
-def number(text: Column) -> Column:
-    """Number written with thousands separators; unreadable text gives NULL."""
-    return no_commas(text).try_cast("double")
-
-
 def elements(html: Column, tag: str) -> Column:
     """All elements of a tag that does not nest, as HTML."""
     return F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}\b.*?</{tag}>)"), F.lit(1))
 
 
 def elements_of_class(html: Column, tag: str, css_class: str) -> Column:
-    return F.filter(
-        elements(html, tag),
-        lambda e: e.rlike(rf"(?is)^<{tag}\b[^>]*class\s*=\s*[\"']([^\"']*\s)?{css_class}(\s[^\"']*)?[\"']"),
-    )
+    """Elements of a tag and class, also inside others of the tag without the
+    class; one of the class itself ends at the tag's next end."""
+    opening = rf"<{tag}\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'][^>]*>"
+    return F.regexp_extract_all(html, F.lit(rf"(?is)({opening}.*?</{tag}>)"), F.lit(1))
 
 
 def contains_all(text: Column, parts: tuple[str, ...]) -> Column:

@@ -164,9 +164,8 @@ def assert_unique(shifted: DataFrame) -> DataFrame:
 def dense_weights(shifted: DataFrame) -> DataFrame:
     """Every stock on every date; absent pairs have NULL values.
 
-    The result is the full grid by definition. It is built from the array of
-    dates per stock rather than by a cross join: the calendar is one array of
-    days, and each stock explodes it.
+    The result is the full grid by definition: the calendar is one row with an
+    array of days, which is joined to every stock and exploded there.
     """
     unique = assert_unique(shifted)
     calendar = unique.agg(F.array_sort(F.collect_set("Date")).alias("dates"))
@@ -177,10 +176,22 @@ def dense_weights(shifted: DataFrame) -> DataFrame:
     return grid.join(unique, ["Date", "stock"], "left")
 
 
-def wide_weights(shifted: DataFrame, stocks: list[str]) -> DataFrame:
-    """One row per date, a `volume_*` and `weight_*` column per listed stock."""
+def all_stocks(shifted: DataFrame, most: int = 2000) -> list[str]:
+    """The stocks that a wide table gets columns for, in order. More than `most`
+    are an error: such a table is better kept long."""
+    found = shifted.select("stock").where("stock IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} stocks")
+    return sorted(r.stock for r in found)
+
+
+def wide_weights(shifted: DataFrame, stocks: list[str] | None = None) -> DataFrame:
+    """One row per date, a `volume` and a `weight` column per stock: those listed,
+    else all there are. A second row for a date and stock is an error."""
+    stocks = all_stocks(shifted) if stocks is None else stocks
     return (
-        shifted.groupBy("Date")
+        assert_unique(shifted)
+        .groupBy("Date")
         .pivot("stock", stocks)
         .agg(F.first("volume").alias("volume"), F.first("weight").alias("weight"))
     )

@@ -91,7 +91,7 @@ def eligible(
     """Drop rows of the last seconds before the snapshot's cut-off time.
 
     Live: the trigger's local time, capped at 14:30 local. Otherwise: 14:30 on
-    the day of the snapshot's last row. `clock_offset_hours` shifts the row's
+    the day of the snapshot's last row, with that row's seconds. `clock_offset_hours` shifts the row's
     clock before it is compared.
     """
     close_ns = (14 * 60 + 30) * MINUTE_NS
@@ -106,7 +106,8 @@ def eligible(
     else:
         # Only the day of the last row matters, and a snapshot's rows come from
         # one group that is already partitioned by its keys.
-        latest = close_of(F.max("ts_ns").over(W.partitionBy(*keys, "trigger_min")))
+        last = F.max("ts_ns").over(W.partitionBy(*keys, "trigger_min"))
+        latest = close_of(last) + F.pmod(last, F.lit(MINUTE_NS))
     clock = F.col("ts_ns") + F.lit(clock_offset_hours * 60 * MINUTE_NS)
     return (
         rows.withColumn("_cut", latest - F.lit(hold_back_seconds * NS).cast("bigint"))

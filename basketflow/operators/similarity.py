@@ -9,6 +9,9 @@ from basketflow.functions.scalars import bit, has_bit, int_div
 from basketflow.operators.snapshots import slot_of
 from basketflow.params import NS, Calendar
 
+# The snapshot bits of a candidate are shifted by whole minutes of the gap.
+MOST_GAP_SECONDS = 1800
+
 # What identifies one state of a roll-up row besides the caller's keys.
 ROW = (
     "side",
@@ -58,10 +61,15 @@ def neighbour_counts(
     `tolerance` and `seconds_gap` are constants, or names of columns in `keys`.
 
     Every row probes one (time bin, lot band) cell; as a candidate it is copied
-    to the cells that may need it. Cells keep both the join and the two
-    following aggregations inside one partition: the pairs are reduced to
-    (row, stock) where they arise and are never shuffled.
+    to the cells that may need it, where the candidates of a stock are one row
+    with an array. The join so makes rows x stocks of a cell at most, and folds
+    each array into the bit mask; its partitioning serves the count after it.
+
+    A constant gap is at most half an hour: the snapshot bits reach no further.
+    A tolerance of 1 or more puts all lots of a time bin into one cell.
     """
+    if not isinstance(seconds_gap, str) and not 0 < seconds_gap <= MOST_GAP_SECONDS:
+        raise ValueError(f"seconds_gap must be positive and at most {MOST_GAP_SECONDS}")
     tol = F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance))
     gap = F.col(seconds_gap) if isinstance(seconds_gap, str) else F.lit(int(seconds_gap))
     gap_ns = gap.cast("bigint") * F.lit(NS)
@@ -93,31 +101,36 @@ def neighbour_counts(
             "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
         )
     )
-    minutes_later = int_div(F.col("c_sec"), 60) - int_div(F.col("sec"), 60)
-    # Candidates earlier than the block, even by a minute, never match; the
-    # shift below is therefore not negative where it matters.
-    shared = F.col("mask").bitwiseAND(
-        F.call_function(
-            "shiftleft", F.col("c_mask"), F.greatest(minutes_later, F.lit(0)).cast("int")
-        )
-    )
     cell_keys = [*keys, "side", "cell", "band"]
-    p, c = probe.alias("p"), candidate.alias("c")
-    on = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in cell_keys]
-    on += [
-        F.col("c_ts") >= F.col("block_start_ns"),
-        F.col("c_ts") <= F.col("block_start_ns") + F.col("gap_ns"),
-        F.col("c_lot") >= F.col("lot_lo"),
-        F.col("c_lot") <= F.col("lot_hi"),
-        shared != 0,
-    ]
-    from_probe = [F.col(f"p.{k}") for k in cell_keys]
     row_cols = [c for c in ROW if c != "side"]
-    pairs = p.join(c, on, "left").select(
-        *from_probe, *row_cols, "mask", "c_stock", F.coalesce(shared, F.lit(0)).alias("shared")
+    # One exchange serves the arrays and the join.
+    held = (
+        candidate.repartition(*cell_keys)
+        .groupBy(*cell_keys, "c_stock")
+        .agg(F.collect_list(F.struct("c_ts", "c_lot", "c_mask", int_div(F.col("c_sec"), 60).alias("c_min"))).alias("held"))
     )
-    per_stock = pairs.groupBy(*cell_keys, *row_cols, "mask", "c_stock").agg(
-        F.bit_or("shared").alias("shared")
+
+    def matching(c: Column) -> Column:
+        return (
+            (c["c_ts"] >= F.col("block_start_ns"))
+            & (c["c_ts"] <= F.col("block_start_ns") + F.col("gap_ns"))
+            & (c["c_lot"] >= F.col("lot_lo"))
+            & (c["c_lot"] <= F.col("lot_hi"))
+        )
+
+    def with_mask(acc: Column, c: Column) -> Column:
+        # Candidates earlier than the block never match, so the shift is not
+        # negative where it matters.
+        later = F.greatest(c["c_min"] - int_div(F.col("sec"), 60), F.lit(0)).cast("int")
+        bits = F.call_function("shiftleft", c["c_mask"], later)
+        return F.when(matching(c), acc.bitwiseOR(bits)).otherwise(acc)
+
+    folded = F.aggregate("held", F.lit(0).cast(masked.schema["mask"].dataType), with_mask)
+    per_stock = probe.join(held, cell_keys, "left").select(
+        *cell_keys,
+        *row_cols,
+        "mask",
+        F.coalesce(F.col("mask").bitwiseAND(folded), F.lit(0)).alias("shared"),
     )
     slots = range(calendar.lookback_minutes + 1)
     counted = per_stock.groupBy(*cell_keys, *row_cols, "mask").agg(

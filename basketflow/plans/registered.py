@@ -475,13 +475,11 @@ def weight_dense(spark, sf_dir):
 
 @register
 def weight_wide(spark, sf_dir):
-    """One column per stock, for the stocks a user names."""
-    wide = ba.wide_weights(_shifted(spark, sf_dir), ["1", "2", "3"])
-    return wide.select(
-        day("Date"),
-        *[F.col(f"`{s}_volume`").alias(f"volume_{s}") for s in "123"],
-        *[half_even(F.col(f"`{s}_weight`"), 8).alias(f"weight_{s}") for s in "123"],
-    )
+    """Columns for every stock there is, read back as rows."""
+    shifted = _shifted(spark, sf_dir)
+    stocks = ba.all_stocks(shifted)
+    rows = ba.long_from_wide(ba.wide_weights(shifted, stocks), stocks)
+    return rows.select(day("Date"), "stock", "volume", half_even(F.col("weight"), 8).alias("weight"))
 
 
 # ---- ingestion -------------------------------------------------------------
@@ -633,7 +631,7 @@ def best_per_stage(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
-    return lv.parquet_stream(spark, sf_dir, schema, "events.parquet")
+    return lv.table_stream(spark, f"{sf_dir}/events.parquet", schema)
 
 
 @register

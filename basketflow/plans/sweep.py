@@ -117,7 +117,11 @@ def evaluate(
     """
     calendar = calendar or Calendar()
     base = DetectionParams(calendar=calendar)
+    run_dates = sorted(set(run_dates))
     dates = F.array(*[F.lit(d).cast("date") for d in run_dates])
+    # Reaches the scans, so only the partitions of these dates are read.
+    asked = F.col("run_date").isin(*[F.lit(d).cast("date") for d in run_dates])
+    trades, quotes, weights = trades.filter(asked), quotes.filter(asked), weights.filter(asked)
     evals = with_lot_buckets(params).withColumn("run_date", F.explode(dates))
     kinds = ("run_date", "tolerance", "seconds_gap")
 
@@ -190,13 +194,16 @@ def two_stage(
     for stage, n in ((1, stage1_trials), (2, stage2_trials)):
         name = f"stage{stage}"
         params = random_params(spark, stage, n, fixed, seed)
-        done = stored_trials(spark, log)
+        asked = stored_trials(spark, f"{out_dir}/asked")
+        done = asked
         if done is not None:
             params = params.join(done.filter(F.col("stage") == name).select("param_id"), "param_id", "left_anti")
         result = trial_metrics(
             evaluate(trades, quotes, weights, reported, params, run_dates, calendar), params
         ).withColumn("stage", F.lit(name))
         append_trials(result, log)
+        # Sets without a result are logged as well, or a resume would run them again.
+        append_trials(params.select(F.lit(name).alias("stage"), "param_id"), f"{out_dir}/asked")
         best = best_per_stage(spark.read.parquet(log).filter(F.col("stage") == name)).first()
         if best is None:
             break

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -41,16 +40,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's `spark.checkpoint.dir`.
-
-    Executors must be able to read what other executors wrote here, so a
-    machine-local folder is used only when the master itself is local.
+    """A new folder below the cluster's `spark.checkpoint.dir`, or below the
+    warehouse where that is not set. Both are folders that all executors reach.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="basketflow-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")

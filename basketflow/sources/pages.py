@@ -38,6 +38,16 @@ def _data_date() -> Column:
     return F.coalesce(lenient_date(capture(F.col("text"), pf.DATE_PATTERN)), F.col("requested_date"))
 
 
+def _request(df: DataFrame) -> list[str]:
+    """What names a request: the fund, if the table holds several, and the date."""
+    return [c for c in ("etf_code", "requested_date") if c in df.columns]
+
+
+def _stored_as(df: DataFrame) -> list[str]:
+    """What names a stored day: the fund, if the table holds several, and the data date."""
+    return [c for c in ("etf_code", "data_date") if c in df.columns]
+
+
 def composition_fields(pages: DataFrame) -> DataFrame:
     """One row per page: nine numbers as text, two flags, the data date."""
     text = F.col("text")
@@ -47,7 +57,7 @@ def composition_fields(pages: DataFrame) -> DataFrame:
         for c, mark in pf.COMPOSITION_FLAGS.items()
     ]
     return _with_text(pages).select(
-        "requested_date", _data_date().alias("data_date"), *numbers, *flags
+        *_request(pages), _data_date().alias("data_date"), *numbers, *flags
     )
 
 
@@ -64,16 +74,13 @@ def rate_fields() -> list[Column]:
 
 
 def page_rates(pages: DataFrame) -> DataFrame:
-    return _with_text(pages).select("requested_date", _data_date().alias("data_date"), *rate_fields())
-
-
-def _first_table(accept) -> Column:
-    return F.get(F.filter(elements_of_class(F.col("html"), "table", pf.TABLE_CLASS), accept), F.lit(0))
+    return _with_text(pages).select(*_request(pages), _data_date().alias("data_date"), *rate_fields())
 
 
 def _cell_rows(table: Column) -> Column:
     """Texts of the cells of every row but the first."""
-    rows = F.slice(elements(table, "tr"), 2, 1_000_000_000)
+    every = elements(table, "tr")
+    rows = F.slice(every, 2, F.size(every))
     return F.transform(rows, lambda r: F.transform(elements(r, "td"), visible_text))
 
 
@@ -160,13 +167,13 @@ def cash_fields() -> list[Column]:
 
 
 def cash_labels(pages: DataFrame) -> DataFrame:
-    return _assets(pages).select("requested_date", _data_date().alias("data_date"), *cash_fields())
+    return _assets(pages).select(*_request(pages), _data_date().alias("data_date"), *cash_fields())
 
 
 def holdings_rows(pages: DataFrame) -> DataFrame:
     """One row per holding, page-level fields next to it."""
     page_level = _assets(pages).select(
-        "requested_date",
+        *_request(pages),
         _data_date().alias("data_date"),
         *nav_fields(),
         *rate_fields(),
@@ -179,14 +186,14 @@ def holdings_rows(pages: DataFrame) -> DataFrame:
 
 
 def first_requests(rows: DataFrame) -> DataFrame:
-    """Per data date the earliest requested date. Aggregated on the map side,
-    so a data date that very many pages repeat does no harm."""
-    return rows.groupBy("data_date").agg(F.min("requested_date").alias("requested_date"))
+    """Per fund and data date the earliest requested date. Aggregated on the map
+    side, so a data date that very many pages repeat does no harm."""
+    return rows.groupBy(*_stored_as(rows)).agg(F.min("requested_date").alias("requested_date"))
 
 
 def first_pages(rows: DataFrame) -> DataFrame:
     """Keep the rows of the page that was requested first."""
-    return rows.join(first_requests(rows), ["data_date", "requested_date"], "left_semi")
+    return rows.join(first_requests(rows), [*_stored_as(rows), "requested_date"], "left_semi")
 
 
 def is_weekend(d: Column) -> Column:
@@ -197,7 +204,7 @@ def ingest_status(pages: DataFrame) -> DataFrame:
     """Verdict per requested date: skipped (weekend), failed (no holdings),
     duplicate (an earlier request had the same data date), success."""
     verdicts = _assets(pages).select(
-        "requested_date",
+        *_request(pages),
         _data_date().alias("data_date"),
         is_weekend(F.col("requested_date")).alias("weekend"),
         (F.coalesce(F.size("holdings"), F.lit(0)) == 0).alias("empty"),
@@ -205,8 +212,8 @@ def ingest_status(pages: DataFrame) -> DataFrame:
     firsts = first_requests(verdicts.filter("NOT weekend AND NOT empty")).withColumn(
         "is_first", F.lit(True)
     )
-    return verdicts.join(firsts, ["data_date", "requested_date"], "left").select(
-        "requested_date",
+    return verdicts.join(firsts, [*_stored_as(verdicts), "requested_date"], "left").select(
+        *_request(pages),
         "data_date",
         F.when(F.col("weekend"), "skipped")
         .when(F.col("empty"), "failed")

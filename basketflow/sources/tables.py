@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketflow.operators.evaluation import best_per_stage
+from basketflow.session import shared_dir
+
 
 def read_csv_files(spark: SparkSession, files: list[str], types: dict[str, str]) -> DataFrame:
     """Union by name of CSV files whose columns differ.
 
     Files with the same header are read in one scan; only the header lines
     come to the driver. A column absent from a file is NULL there; columns
-    without an entry in `types` stay text.
+    without an entry in `types` stay text. Without files the table is empty
+    and has the columns of `types`.
     """
     if not files:
-        raise FileNotFoundError("no input files")
+        return spark.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in types.items()) or "`value` string")
     head = (
         spark.read.text(files, wholetext=False)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
@@ -29,7 +34,7 @@ def read_csv_files(spark: SparkSession, files: list[str], types: dict[str, str])
     )
     frames = []
     for row in head.collect():
-        names = [n.strip() for n in row.header.lstrip("﻿").split(",")]
+        names = [n.strip() for n in next(csv.reader([row.header.lstrip("\ufeff")]))]
         schema = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)
         frames.append(spark.read.csv(sorted(row.files), header=True, schema=schema))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -38,7 +43,11 @@ def read_csv_files(spark: SparkSession, files: list[str], types: dict[str, str])
 def read_ticks(spark: SparkSession, root: str, run_dates: list[str] | None = None) -> DataFrame:
     """Tick or quote table partitioned by `run_date`; `symbol` becomes `stock`.
     The date filter prunes partitions."""
-    df = spark.read.parquet(root).withColumnsRenamed({"symbol": "stock"})
+    df = spark.read.parquet(root)
+    if "src_seq" not in df.columns:
+        # The order within the file decides between rows of equal time.
+        df = df.withColumn("src_seq", F.col("_metadata.row_index"))
+    df = df.withColumnsRenamed({"symbol": "stock"})
     if run_dates:
         df = df.filter(F.col("run_date").isin(*run_dates))
     return df.withColumn("run_date", F.col("run_date").cast("date"))
@@ -102,16 +111,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+# Tasks that write one month.
+SINK_TASKS = 8
+
+
 def append_new_dates(rows: DataFrame, path: str) -> None:
-    """First writer wins: only data dates the table does not hold yet are
-    added. Partitioned by month: a directory per day would leave one tiny file
-    for each."""
+    """First writer wins: only the days (of a fund, with an `etf_code`) that the
+    table does not hold yet are added. Partitioned by month: a directory per day
+    would leave one tiny file for each; a month's days are written by several
+    tasks."""
     spark = rows.sparkSession
     if _exists(spark, path):
-        stored = spark.read.parquet(path).select("data_date").distinct()
-        rows = rows.join(stored, "data_date", "left_anti")
+        keys = [c for c in ("etf_code", "data_date") if c in rows.columns]
+        months = rows.select(F.date_format("data_date", "yyyyMM").cast("int").alias("data_month")).distinct()
+        stored = spark.read.parquet(path).join(months, "data_month", "left_semi").select(*keys).distinct()
+        rows = rows.join(stored, keys, "left_anti")
     month = rows.withColumn("data_month", F.date_format("data_date", "yyyyMM"))
-    month.repartition("data_month").write.mode("append").partitionBy("data_month").parquet(path)
+    month.repartition("data_month", F.pmod(F.xxhash64("data_date"), F.lit(SINK_TASKS))).write.mode("append").partitionBy("data_month").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -127,8 +143,16 @@ def stored_trials(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def upsert_best(best: DataFrame, path: str) -> None:
-    """Replace the stored best rows; the stage is the partition, and only the
-    stages in the frame are rewritten."""
+    """Keep the better of the stored and the given row of each stage; the stage
+    is the partition, and only the stages in the frame are rewritten."""
+    spark = best.sparkSession
+    if _exists(spark, path):
+        stored = spark.read.parquet(path).join(best.select("stage").distinct(), "stage", "left_semi")
+        merged = best_per_stage(stored.select(*best.columns).unionByName(best))
+        # The old rows are read before they are replaced.
+        aside = shared_dir(spark, "best")
+        merged.write.parquet(aside)
+        best = spark.read.schema(merged.schema).parquet(aside)
     (
         best.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -14,6 +14,12 @@ from basketflow.plans.detect import detect_flow
 
 HOUR_NS = 60 * MINUTE_NS
 KEY = ["run_date", "time_str", "stock", "initial_ts_ns", "ts_ns"]
+# Batch number of what `flush` writes; later than any batch of a stream.
+FLUSH = 2**31 - 1
+TICK_TYPES = (
+    "run_date date, stock string, ts_ns bigint, src_seq bigint, is_trade boolean, "
+    "price double, volume double, bid double, ask double"
+)
 TICK_COLUMNS = [
     "run_date",
     "stock",
@@ -37,6 +43,14 @@ def parquet_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parq
     )
 
 
+def table_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files."""
+    found = spark.read.parquet(path).inputFiles()
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    is_file = len(found) == 1 and found[0].rstrip("/").endswith(f"/{name}")
+    return parquet_stream(spark, folder if is_file else path, schema, name if is_file else "*", files)
+
+
 def minute_flow(flows: DataFrame, delay: str = "45 seconds", width: str = "1 minute") -> DataFrame:
     """Net flow per minute of a stream with `ts` and `signed_value`; a minute
     is final once the watermark has passed it."""
@@ -75,7 +89,8 @@ class LiveDetector:
         try:
             df = spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
         except Exception as exc:
-            if "PATH_NOT_FOUND" in str(exc):
+            # No folder yet, or only batches without rows.
+            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
                 return None
             raise
         return df.filter(F.col("batch") < before)
@@ -91,8 +106,18 @@ class LiveDetector:
 
     # -- processing
 
+    def _forget_flush(self, spark: SparkSession) -> None:
+        """Empty what a flush wrote: the stream goes on and closes those minutes again."""
+        for name in ("progress", "detections"):
+            stored = self._read(name, spark, 2**31)
+            if stored is not None and stored.filter(F.col("batch") == FLUSH).limit(1).count():
+                kept = stored.filter(F.col("batch") == FLUSH).drop("batch").limit(0)
+                empty = spark.createDataFrame([], kept.schema)
+                self._write(empty, name, FLUSH, *(["run_date"] if name == "detections" else []))
+
     def process(self, ticks: DataFrame, batch: int) -> None:
         spark = ticks.sparkSession
+        self._forget_flush(spark)
         hour = int_div(F.col("ts_ns"), HOUR_NS).alias("hour")
         self._write(ticks.select(*TICK_COLUMNS, hour), "ticks", batch, "hour")
         ends = (
@@ -108,8 +133,9 @@ class LiveDetector:
         upto = max(start, (newest - self.params.shift_seconds * NS) // MINUTE_NS)
         self._close(spark, batch, start, upto, newest)
 
-    def flush(self, spark: SparkSession, batch: int = 2**31 - 1) -> None:
-        """Close the minutes that are still open once the stream has ended."""
+    def flush(self, spark: SparkSession, batch: int = FLUSH) -> None:
+        """Close the minutes that are still open once the stream has ended. If it
+        goes on after all, the next batch empties what this wrote."""
         newest, closed = self._progress(spark, batch)
         if newest is None:
             return
@@ -152,4 +178,12 @@ class LiveDetector:
 
     def detections(self, spark: SparkSession) -> DataFrame:
         found = self._read("detections", spark, 2**31)
-        return found.drop("batch")
+        if found is not None:
+            return found.drop("batch")
+        ticks = spark.createDataFrame([], TICK_TYPES)
+        return detect_flow(
+            ticks.select("run_date", "stock", "ts_ns", "src_seq", "price", "volume"),
+            ticks.select("run_date", "stock", "ts_ns", "src_seq", "bid", "ask"),
+            self.weights,
+            self.params,
+        )

@@ -173,8 +173,6 @@ ORACLES = {
         {r('weight', 8)} FROM (SELECT DISTINCT date FROM shifted) a
         CROSS JOIN (SELECT DISTINCT stock FROM shifted) s
         LEFT JOIN shifted x ON x.date = a.date AND x.stock = s.stock""",
-    "weight_wide": f"""WITH {COMP}, {BASKET} SELECT {d('date', '"Date"')},
-        {', '.join(f"max(volume) FILTER (stock = '{s}') AS volume_{s}" for s in '123')},
-        {', '.join(r(f"max(weight) FILTER (stock = '{s}')", 8, f'weight_{s}') for s in '123')}
-        FROM shifted GROUP BY date""",
 }
+
+ORACLES["weight_wide"] = ORACLES["weight_dense"]

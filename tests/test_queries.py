@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from basketflow.plans.registered import QUERIES
 from compare import difference, duck
+from oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,17 +16,12 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-# The page sink, the live stream and the sweep run many jobs each; they are
-# covered by compare.py and by tests of their own.
-SLOW = {"best_per_stage", "sweep_top10", "stream_detect"}
-
-
-@pytest.mark.parametrize("key", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
-    assert difference(queries()[key](spark, SF), con, oracle_sql()[key]) is None
+    assert difference(QUERIES[key](spark, SF), con, ORACLES[key]) is None
 
 
 def test_entry_has_rows(spark):
