@@ -212,4 +212,4 @@ def test_closed_day_keeps_the_last_rows_seconds(spark):
     at = (14 * 60 + 29) * 60 * 10**9
     rows = spark.createDataFrame([(date(1970, 1, 1), 900, at + s * 10**9) for s in (20, 30)], "run_date date, trigger_min long, ts_ns long")
     assert sg.eligible(rows, live=False, hold_back_seconds=45).count() == 2
-    assert sg.eligible(rows, live=False, hold_back_seconds=75).count() == 1
+    assert sg.eligible(rows, live=False, hold_back_seconds=65).count() == 1
