@@ -40,7 +40,7 @@ def _byte_symbols() -> dict[str, int]:
 class _Chunks(dict):
     """Ids, as bytes, of a blank and the word after it; what has been met is kept, up to a bound."""
 
-    def __init__(self, encode, limit: int = 1_000_000) -> None:
+    def __init__(self, encode, limit: int = 250_000) -> None:
         super().__init__()
         self.encode, self.limit = encode, limit
 
