@@ -7,6 +7,7 @@ lie in any store Spark reaches and a lost task is written again. Reading parses
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -76,12 +77,13 @@ def _record(date: str) -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, date: str | None = None) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, date: str | None = None, compression: str = "gzip") -> None:
     """Writes one record per row of `pages` (page_id, url, html; other columns are ignored) as archives below `path`.
 
     The payload is the html in UTF-8, empty for NULL. Of payloads with at least `least_bytes` bytes that are equal, the
     one of the smallest page_id is a response and those of larger ones revisit it. Rows that repeat a page_id and its
-    payload get the same type. A page without page_id is always a response. An empty table gives no records.
+    payload get the same type. A page without page_id is always a response. An empty table gives no records. `compression`
+    is `gzip` or `none`.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     kinds = resolve(rows, least_bytes).withColumnRenamed("page_id", "of_page").withColumnRenamed("digest", "of_digest")
@@ -92,6 +94,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_p
         records.select(_record(stamp).alias("value"))
         .write.option("lineSep", _CRLF * 2)
         .option("maxRecordsPerFile", records_per_file)
+        .option("compression", compression)
         .text(path)
     )
 
@@ -131,7 +134,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = list(_parsed(content.as_py()))
+                raw = content.as_py()
+                rows = list(_parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw))
                 if rows:
                     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
