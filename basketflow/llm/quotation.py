@@ -1,14 +1,16 @@
 """Conversations from messages that quote each other.
 
-Each message is parsed into its own lines and quoted passages by nesting level. Passages and own lines are reduced to hashes
-of their normalised words; the first message that wrote a line is its original. A message replies to the original of what it
-quotes at the first level, else to the turn before it. Threads and depths follow from these links by pointer doubling.
+Each message is parsed into its own text and quoted passages by nesting level. Quoted passages, their lines, and own paragraphs
+and lines are reduced to hashes of their normalised words; the first message that wrote a passage, or else a line, is its
+original. A message replies to the original of what it quotes at the first level, else to the turn before it. Threads and
+depths follow from these links by pointer doubling.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 import xxhash
@@ -22,45 +24,73 @@ _SAID = re.compile(r"(?i)^\s*(on .{1,200} wrote|le .{1,200} a écrit|am .{1,200}
 _WORDS = re.compile(r"\w+")
 
 
-def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """A message without its quotes, and (level, line) of each quoted line. The line that announces a quote goes too.
+def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
+    """A message without its quotes, and (level, lines) of each quoted passage. The line that announces a quote goes too.
 
-    >>> parse("On Monday A wrote:\\n> > deep\\n> near\\nYes.")
-    ('Yes.', [(2, 'deep'), (1, 'near')])
+    A passage is a run of quoted lines of one level; an empty quoted line ends it.
+
+    >>> parse("On Monday A wrote:\\n> > deep\\n> near\\n> by\\nYes.")
+    ('Yes.', [(2, ['deep']), (1, ['near', 'by'])])
     """
     own: list[str] = []
-    quoted: list[tuple[int, str]] = []
-    in_quote = False
+    quoted: list[tuple[int, list[str]]] = []
+    in_quote = any_mark = joins = False
     for line in text.split("\n"):
         mark = _MARK.match(line)
         if mark:
             while not in_quote and own and (not own[-1].strip() or _SAID.match(own[-1])):
                 if _SAID.match(own.pop()):
                     break
-            quoted.append((mark.group(1).count(">"), line[mark.end() :].rstrip()))
+            level, rest = mark.group(1).count(">"), line[mark.end() :].rstrip()
+            if rest:
+                if not (joins and quoted[-1][0] == level):
+                    quoted.append((level, []))
+                quoted[-1][1].append(rest)
+            joins, any_mark = bool(rest), True
         else:
             own.append(line)
+            joins = False
         in_quote = bool(mark)
-    return "\n".join(own).strip("\n") if quoted else text, quoted
+    return "\n".join(own).strip("\n") if any_mark else text, quoted
 
 
-def passage_hash(line: str) -> int | None:
-    """Hash of a line's words in lower case, None without words."""
-    words = _WORDS.findall(line.lower())
+def passage_hash(text: str) -> int | None:
+    """Hash of the words in lower case, however they are broken into lines; None without words."""
+    words = _WORDS.findall(text.lower())
     return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63) if words else None
 
 
-_PARSED = "conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<level:int,hash:long,size:int>>"
+def _own_hashes(text: str) -> list[int]:
+    """Hashes of a message's lines and of its paragraphs."""
+    lines = text.split("\n")
+    paragraphs = (" ".join(part) for filled, part in groupby(lines, lambda x: bool(x.strip())) if filled)
+    return sorted({h for x in chain(lines, paragraphs) if (h := passage_hash(x)) is not None})
+
+
+def _quoted_hashes(passages: list[tuple[int, list[str]]]) -> list[dict]:
+    """Two entries for each quoted line with words: its own hash and, in a passage of several, that of the passage."""
+    out, number = [], 0
+    for level, lines in passages:
+        held = [(x, h) for x in lines if (h := passage_hash(x)) is not None]
+        whole = passage_hash(" ".join(lines))
+        for x, h in held:
+            out += [{"level": level, "line": number, "own": h, "hash": k, "size": len(x)} for k in ((h, whole) if len(held) > 1 else (h,))]
+            number += 1
+    return out
+
+
+_PARSED = "conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<level:int,line:int,own:long,hash:long,size:int>>"
+_QUOTED = pa.list_(pa.struct([("level", pa.int32()), ("line", pa.int32()), ("own", pa.int64()), ("hash", pa.int64()), ("size", pa.int32())]))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, own, quoted = [], [], []
         for text in batch.column("text").to_pylist():
-            rest, lines = parse(text)
+            rest, passages = parse(text)
             texts.append(rest)
-            own.append(sorted({h for x in rest.split("\n") if (h := passage_hash(x)) is not None}))
-            quoted.append([{"level": n, "hash": h, "size": len(x)} for n, x in lines if (h := passage_hash(x)) is not None])
+            own.append(_own_hashes(rest))
+            quoted.append(_quoted_hashes(passages))
         yield pa.RecordBatch.from_pydict(
             {
                 "conv_id": batch.column("conv_id"),
@@ -68,7 +98,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "role": batch.column("role"),
                 "text": pa.array(texts, pa.string()),
                 "own": pa.array(own, pa.list_(pa.int64())),
-                "quoted": pa.array(quoted, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("size", pa.int32())]))),
+                "quoted": pa.array(quoted, _QUOTED),
             }
         )
 
@@ -76,11 +106,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _originals(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, size, of_conv, of_turn) of each quoted line whose original is known.
 
-    The original is the first turn of the same conversation with the line, else the first message of all; both are minima
-    taken before the shuffle, so a line that very many messages have gives one candidate and no pairs.
+    A line's original is that of the passage it stands in, or of the line itself if the passage has none: the first turn of
+    the same conversation that wrote it, else the first message of all. Both are minima taken before the shuffle, so a line
+    that very many messages have gives one candidate and no pairs.
     """
     lines = messages.select(F.explode("own").alias("hash"), F.struct("conv_id", "turn").alias("at"))
-    asked = messages.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.size")
+    asked = messages.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.line", "q.own", "q.hash", "q.size")
     lines = lines.join(asked.select("hash").distinct(), "hash", "left_semi")
     here = lines.groupBy(F.col("at.conv_id").alias("conv_id"), "hash").agg(F.min("at").alias("here"))
     first = lines.groupBy("hash").agg(F.min("at").alias("anywhere"))
@@ -89,7 +120,14 @@ def _originals(messages: DataFrame) -> DataFrame:
     before = F.col("here.turn") < F.col("turn")
     other = F.col("anywhere.conv_id") != F.col("conv_id")
     origin = F.when(before, F.col("here")).when(other, F.col("anywhere"))
-    return found.withColumn("of", origin).where(F.col("of").isNotNull()).select("conv_id", "turn", "level", "size", F.col("of.conv_id").alias("of_conv"), F.col("of.turn").alias("of_turn"))
+    of_passage = F.col("hash") != F.col("own")
+    best = (
+        found.withColumn("of", origin)
+        .where(F.col("of").isNotNull())
+        .groupBy("conv_id", "turn", "line", "own")
+        .agg(F.min("level").alias("level"), F.max("size").alias("size"), F.max(F.struct(of_passage.alias("whole"), "of")).alias("best"))
+    )
+    return best.select("conv_id", "turn", "level", "size", F.col("best.of.conv_id").alias("of_conv"), F.col("best.of.turn").alias("of_turn"))
 
 
 def _replies(messages: DataFrame, originals: DataFrame) -> DataFrame:
@@ -125,7 +163,7 @@ def _threads(replies: DataFrame) -> DataFrame:
     most = at.count()
     total = at.agg(F.sum("depth")).first()[0] or 0
     while True:
-        upper = at.select(F.col("conv_id").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("c"), F.col("up_turn").alias("t"), F.col("depth").alias("more"))
+        upper = at.where("depth > 0").select(F.col("conv_id").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("c"), F.col("up_turn").alias("t"), F.col("depth").alias("more"))
         moved = at.join(upper, ["up_conv", "up_turn"], "left")
         step = F.coalesce("more", F.lit(0)) > 0
         step = step & (F.col("depth") + F.col("more") <= most)
@@ -164,7 +202,7 @@ def link(messages: DataFrame) -> DataFrame:
             "thread_conv",
             "thread_turn",
             "depth",
-            F.size("quoted").cast("long").alias("n_quotes"),
+            F.size(F.filter("quoted", lambda q: q["hash"] == q["own"])).cast("long").alias("n_quotes"),
             F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
             F.coalesce(F.array_max(F.col("quoted.level")), F.lit(0)).cast("long").alias("levels"),
         )

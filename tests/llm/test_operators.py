@@ -437,6 +437,25 @@ def test_quotation_threads(spark):
     assert quotation.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_passages_decide_before_lines(spark):
+    """A line that several wrote belongs to the passage around it, and a quote may be wrapped anew."""
+    rows = [
+        (1, 0, "user", "Yes.\nThe train leaves at nine"),
+        (1, 1, "assistant", "Yes.\nThe bus leaves at ten"),
+        (1, 2, "user", "> Yes.\n> The bus leaves at ten\n\nThanks"),
+        (2, 0, "user", "A long line that a mail program is going to wrap"),
+        (2, 1, "assistant", "And then?"),
+        (2, 2, "user", "> A long line that a mail\n> program is going to wrap\nDid it?"),
+        (3, 0, "user", "Yes."),
+        (3, 1, "user", "first"),
+        (3, 2, "user", ">\n>  \n> Yes."),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotation.link(frame.unionByName(frame)).collect()}
+    assert {k: (r.reply_conv, r.reply_turn) for k, r in got.items() if k[1] == 2} == {(1, 2): (1, 1), (2, 2): (2, 0), (3, 2): (3, 0)}
+    assert [(got[c, 2].n_quotes, got[c, 2].n_linked, got[c, 2].text) for c in (1, 2, 3)] == [(2, 2, "Thanks"), (2, 2, "Did it?"), (1, 1, "")]
+
+
 def test_threads_of_the_table(spark):
     rows = table(spark, SF, "conversations")
     got = quotation.link(rows.withColumn("depth", F.lit("clash")).withColumn("own", F.lit(1))).collect()
