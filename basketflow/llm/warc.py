@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,22 +106,21 @@ def _number(value: str | None) -> int | None:
     return int(value[len("<urn:page:") : -1]) if value and value != "<urn:page:>" else None
 
 
-def records(content: bytes) -> Iterator[dict]:
-    """The records of one archive: headers by lower-case name, and `block`."""
-    at, end = 0, len(content)
-    while at < end:
-        stop = content.index(b"\r\n\r\n", at)
-        lines = content[at:stop].decode("utf-8").split(_CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(head["content-length"])
-        yield head | {"block": content[stop + 4 : stop + 4 + size]}
-        at = stop + 4 + size + 4
+def records(stream: BinaryIO) -> Iterator[dict]:
+    """The records of one archive, one at a time: headers by lower-case name, and `block`."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record where {first[:40]!r} stands")
+        head = {}
+        while line := stream.readline().decode("utf-8").rstrip(_CRLF):
+            name, _, value = line.partition(": ")
+            head[name.lower()] = value
+        yield head | {"block": stream.read(int(head["content-length"]))}
+        stream.read(len(_CRLF * 2))
 
 
-def _parsed(content: bytes) -> Iterator[tuple]:
-    for r in records(content):
+def _parsed(stream: BinaryIO) -> Iterator[tuple]:
+    for r in records(stream):
         http, _, payload = r["block"].partition(b"\r\n\r\n")
         stated = next(int(x[16:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: "))
         digest = r["warc-payload-digest"].removeprefix("sha256:")
@@ -134,8 +135,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                raw = content.as_py()
-                rows = list(_parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw))
+                raw = io.BytesIO(content.as_py())
+                # Unpacked as it is read: a task holds the packed file and one record.
+                rows = list(_parsed(gzip.GzipFile(fileobj=raw) if raw.getvalue()[:2] == b"\x1f\x8b" else raw))
                 if rows:
                     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
