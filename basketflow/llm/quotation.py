@@ -153,28 +153,31 @@ def _replies(messages: DataFrame, originals: DataFrame) -> DataFrame:
 def _threads(replies: DataFrame) -> DataFrame:
     """(conv_id, turn, thread_conv, thread_turn, depth): the first message above each, and how far up it is.
 
-    Every round doubles the distance that is covered, so a chain of n replies takes about log2(n) joins. Quotes across
-    conversations could form a ring; each message of one then stops where the distance would exceed all messages.
+    Every round doubles the distance that is covered, so a chain of n replies takes about log2(n) joins; a message that has
+    reached its first one is in no further round. Quotes across conversations could form a ring; each message of one then
+    stops where the distance would exceed all messages.
     """
+    answers = F.col("to_turn").isNotNull()
     at = written(
-        replies.select("conv_id", "turn", F.coalesce("to_conv", "conv_id").alias("up_conv"), F.coalesce("to_turn", "turn").alias("up_turn"), F.col("to_turn").isNotNull().cast("long").alias("depth")),
+        replies.select("conv_id", "turn", F.coalesce("to_conv", "conv_id").alias("up_conv"), F.coalesce("to_turn", "turn").alias("up_turn"), answers.cast("long").alias("depth"), answers.alias("open")),
         "threads",
     )
     most = at.count()
-    total = at.agg(F.sum("depth")).first()[0] or 0
-    while True:
+    while at.where("open").limit(1).count():
         upper = at.where("depth > 0").select(F.col("conv_id").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("c"), F.col("up_turn").alias("t"), F.col("depth").alias("more"))
-        moved = at.join(upper, ["up_conv", "up_turn"], "left")
+        moved = at.where("open").drop("open").join(upper, ["up_conv", "up_turn"], "left")
         step = F.coalesce("more", F.lit(0)) > 0
         step = step & (F.col("depth") + F.col("more") <= most)
-        at = written(
-            moved.select("conv_id", "turn", F.when(step, F.col("c")).otherwise(F.col("up_conv")).alias("up_conv"), F.when(step, F.col("t")).otherwise(F.col("up_turn")).alias("up_turn"), F.when(step, F.col("depth") + F.col("more")).otherwise(F.col("depth")).alias("depth")),
-            "threads",
+        moved = moved.select(
+            "conv_id",
+            "turn",
+            F.when(step, F.col("c")).otherwise(F.col("up_conv")).alias("up_conv"),
+            F.when(step, F.col("t")).otherwise(F.col("up_turn")).alias("up_turn"),
+            F.when(step, F.col("depth") + F.col("more")).otherwise(F.col("depth")).alias("depth"),
+            F.coalesce(step, F.lit(False)).alias("open"),
         )
-        now = at.agg(F.sum("depth")).first()[0] or 0
-        if now == total:
-            return at.select("conv_id", "turn", F.col("up_conv").alias("thread_conv"), F.col("up_turn").alias("thread_turn"), "depth")
-        total = now
+        at = written(moved.unionByName(at.where("NOT open")), "threads")
+    return at.select("conv_id", "turn", F.col("up_conv").alias("thread_conv"), F.col("up_turn").alias("thread_turn"), "depth")
 
 
 def link(messages: DataFrame) -> DataFrame:
