@@ -198,6 +198,16 @@ def eligibility(spark, sf_dir):
     )
 
 
+@register
+def eligibility_closed(spark, sf_dir):
+    """The cut-off of a run after hours: 14:30 on the day of the last row, with its seconds.
+    The clock is moved so that it falls among the rows."""
+    kept = sg.core_filter(dt.segment_rows(_similar(spark, sf_dir), PARAMS), PARAMS.core_threshold)
+    return sg.eligible(kept, live=False, clock_offset_hours=12).select(
+        day("run_date"), "trigger_min", "time_str", "stock", "side", "segment_ids", "ts_ns"
+    )
+
+
 def _detected(spark, sf_dir, params=PARAMS, clock_div=300):
     m = fx.market(spark, sf_dir, clock_div)
     return dt.detect_flow(m.trades, m.quotes, m.weights, params)
@@ -258,6 +268,32 @@ def detect_flow(spark, sf_dir):
     return detection_columns(_detected(spark, sf_dir))
 
 
+@register
+def result_sink(spark, sf_dir):
+    """Detections stored by date; storing them again replaces them."""
+    path, aside = shared_dir(spark, "results"), shared_dir(spark, "results")
+    found = dt.result_layout(_detected(spark, sf_dir))
+
+    def stored(folder):
+        # A day without detections has no folder: the schema cannot come from the files.
+        return spark.read.schema(found.schema).parquet(folder)
+
+    tb.write_results(found, path)
+    tb.write_results(stored(path), aside)
+    tb.write_results(stored(aside), path)
+    return stored(path).select(
+        day("run_date"),
+        "time_str",
+        "stock",
+        "side",
+        F.unix_micros("ts").alias("ts_us"),
+        F.unix_micros("initial_ts").alias("initial_ts_us"),
+        "segment_ids",
+        cents("arbit_value"),
+        cents("unwind_value"),
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole detection on a small table: a slower clock (denser snapshots)
     and thresholds of two."""
@@ -355,6 +391,17 @@ def numlot_quantiles(spark, sf_dir):
     )
 
 
+@register
+def lot_folders(spark, sf_dir):
+    """Lots stored in a folder per similarity, read back with it, per similarity."""
+    path = shared_dir(spark, "lots")
+    fx.lot_data(spark, sf_dir).write.partitionBy("similarity").parquet(path)
+    lots = ev.distinct_lots(tb.read_lot_folders(spark, path))
+    return lots.groupBy("similarity").agg(
+        F.count(F.lit(1)).alias("n"), F.min("num_lot").alias("low"), F.max("num_lot").alias("high")
+    )
+
+
 @register
 def numlot_histogram(spark, sf_dir):
     """Log-spaced lot histogram per similarity, with labels."""
@@ -423,6 +470,20 @@ def composition_clean(spark, sf_dir):
     return _composition(spark, sf_dir).withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
 
 
+@register
+def csv_union(spark, sf_dir):
+    """Compositions written as CSV with different columns, read back as one table of types."""
+    path = shared_dir(spark, "csv")
+    columns = ["requested_date", "nav", "total_units", "nav_per_unit", "fund_purchase"]
+    rows = fx.raw_composition(spark, sf_dir).select("day", *columns)
+    even = F.pmod(F.dayofmonth("day"), F.lit(2)) == 0
+    tb.write_csv(rows.filter(even).select(*columns), f"{path}/even")
+    tb.write_csv(rows.filter(~even).select(*columns[:0:-1], F.lit("a, b").alias("note, more")), f"{path}/odd")
+    files = tb.csv_files(spark, f"{path}/even") + tb.csv_files(spark, f"{path}/odd")
+    types = {"nav": "bigint", "total_units": "bigint", "nav_per_unit": "double"}
+    return tb.read_csv_files(spark, files, types).withColumnRenamed("note, more", "note")
+
+
 def _joined(spark, sf_dir):
     comp = _composition(spark, sf_dir).select(
         "Date", "nav", "nav_per_unit", "net_unit_change", "creation_unit", "equity_value_basket"

@@ -87,6 +87,17 @@ def as_weights(raw: DataFrame) -> DataFrame:
     )
 
 
+def read_lot_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Lots below `root`, one folder `similarity=NN` each; the folder's number is a column."""
+    return spark.read.parquet(root).withColumn("similarity", F.col("similarity").cast("int"))
+
+
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """The CSV files of a folder. Only names are read: no column asks for the content."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+    return sorted(listed.inputFiles())
+
+
 def read_primary_flow(df: DataFrame) -> DataFrame:
     return df.select(F.col("Date").cast("date").alias("Date"), "primary_flow_vnd")
 

@@ -79,6 +79,19 @@ ORACLES = {
             WHERE ts_ns + 420 * 60000000000 <= least((trigger_min + 420) * 60000000000,
               (trigger_min + 420) // 1440 * 86400000000000 + 52200000000000) - 45000000000""",
     ),
+    "eligibility_closed": upto(
+        SEGMENTS,
+        f"""SELECT {DAY}, trigger_min, time_str, stock, side, segment_ids, ts_ns
+            FROM (SELECT *, max(ts_ns) OVER (PARTITION BY run_date, trigger_min) AS last_ns FROM core)
+            WHERE ts_ns + 720 * 60000000000 <= last_ns // 86400000000000 * 86400000000000 + 52200000000000
+              + last_ns % 60000000000 - 45000000000""",
+    ),
+    "result_sink": upto(
+        DETECTED,
+        f"""SELECT {DAY}, time_str, stock, CAST(side AS DOUBLE) AS side, shifted_ns // 1000 AS ts_us,
+                   initial_ts_ns // 1000 AS initial_ts_us, segment_ids, {cents('arbit_value')}, {cents('unwind_value')}
+            FROM detected""",
+    ),
     "first_detection": upto(
         DETECTED,
         f"""SELECT {DAY}, trigger_min, time_str, stock, side, initial_ts_ns, shifted_ns AS ts_ns

@@ -141,6 +141,8 @@ ORACLES = {
       FROM ends, range(0, 10) g(i)""",
     "numlot_quantiles": f"""WITH {LOTS} SELECT CAST(similarity AS INTEGER) AS similarity, n,
         {r('q_low', 8)}, {r('q_high', 8)} FROM quant""",
+    "lot_folders": f"""WITH {LOTS} SELECT CAST(similarity AS INTEGER) AS similarity, count(*) AS n,
+        min(num_lot) AS low, max(num_lot) AS high FROM lots WHERE num_lot > 0 GROUP BY similarity""",
     "numlot_histogram": f"""WITH {LOTS}, {HIST} SELECT CAST(similarity AS INTEGER) AS similarity,
         CAST(bin AS INTEGER) AS bin, {r('bin_left', 6)}, {r('bin_right', 6)}, count,
         printf('(%.3g, %.3g]', bin_left, bin_right) AS bin_label FROM hist""",
@@ -161,6 +163,9 @@ ORACLES = {
         nav_per_unit, creation_unit, equity_value_basket, n_done AS cash_component,
         CASE WHEN n_open > n_done THEN 'Yes' ELSE 'No' END AS fund_purchase,
         CASE WHEN n_open < n_done THEN 'Yes' ELSE 'No' END AS fund_redemption FROM comp""",
+    "csv_union": f"""WITH {COMP} SELECT CASE WHEN day(date) % 2 = 0 THEN strftime(date, '%Y/%m/%d') END AS requested_date,
+        nav, total_units, nav_per_unit, CASE WHEN n_open > n_done THEN 'Yes' ELSE 'No' END AS fund_purchase,
+        CASE WHEN day(date) % 2 = 1 THEN 'a, b' END AS note FROM comp""",
     "composition_join": f"""WITH {COMP}, {BASKET} SELECT {d('date', '"Date"')}, stock, shares, market_value,
         net_unit_change, creation_unit, equity_value_basket FROM joined""",
     "basket_metrics": f"""WITH {COMP}, {BASKET} SELECT {d('date', '"Date"')}, stock, {r('weight', 8, 'weight_pct')},
