@@ -93,7 +93,8 @@ def exact_quantiles(
 
     Equal values are counted first, on the map side. Stripe totals (a few
     hundred rows per key) give the rank at which every stripe starts; values
-    are then ranked within their stripe only. No task holds all values of a key.
+    are then ranked within their stripe only. Distinct values of a key that all
+    lie in one stripe are ranked in one task.
     """
     anchor = F.lit(0).alias("_all")
     keys_ = list(keys) or ["_all"]
