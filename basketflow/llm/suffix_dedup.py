@@ -9,6 +9,9 @@ it, which equal strings share. Only about one suffix in eighty is an anchor's, s
    bytes, and each task sorts its own with multikey quicksort, eight bytes at a time, forwards from the anchor and backwards.
    Splitters never divide equal leading bytes, so neighbours across a boundary share less than any repeat.
 3. Neighbours that agree far enough, forwards and backwards, have the same string. The verdicts go back to the texts.
+
+Spans with one lead are sorted in one task. A lead that very many spans have (a common passage in changing contexts) would be
+a group without bound, so beyond `most_together` its spans' strings are counted by 128-bit hash instead, with partial sums.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ LEAD = 32
 _CHUNK = 1 << 18
 #: Suffixes sorted together, unless one leading string has more.
 _ROWS = 1 << 14
+#: Suffixes with one lead that are sorted together.
+MOST_TOGETHER = _ROWS // 4
+#: Spans whose strings are hashed into one batch.
+_HASHED = 512
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -189,13 +196,46 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         yield flush(held)
 
 
-def scan(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, key, span, at): the 128-bit hash of each string of each span, and its place there."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, _HASHED):
+            batch = whole.slice(lo, _HASHED)
+            bodies = batch.column("body").to_pylist()
+            sizes = [len(b) - length + 1 for b in bodies]
+            digests = b"".join(xxhash.xxh3_128_digest(b[k : k + length]) for b, n in zip(bodies, sizes, strict=True) for k in range(n))
+            halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+            at = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])
+            key, span = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("key", "span"))
+            yield pa.RecordBatch.from_pydict({"a": halves[:, 0].copy(), "b": halves[:, 1].copy(), "key": key, "span": span, "at": at})
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of repeated strings in each span as packed bits."""
+    for batch in batches:
+        flags = []
+        for at in batch.column("at").to_pylist():
+            bits = np.zeros(max(at) + 1, bool)
+            bits[at] = True
+            flags.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "span": batch.column("span"), "flags": pa.array(flags, pa.binary())})
+
+
+def _counted(spans: DataFrame, length: int) -> DataFrame:
+    """The verdicts on spans of crowded leads. A string stands once in a span, so one that is counted twice is in two."""
+    strings = spans.select("key", "span", "body").mapInArrow(lambda batches: _strings(batches, length), "a long, b long, key long, span long, at int")
+    twice = strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b")
+    hits = strings.join(twice, ["a", "b"]).groupBy("key", "span").agg(F.collect_list("at").alias("at"))
+    return hits.mapInArrow(_flagged, "key long, span long, flags binary")
+
+
+def scan(docs: DataFrame, length: int = LENGTH, with_text: bool = False, most_together: int = MOST_TOGETHER) -> DataFrame:
     """What is left of each row of `docs` (doc_id, text; other columns are ignored) without its repeated strings.
 
     Removed is each byte of the UTF-8 text inside a string of `length` bytes that also starts anywhere else in the table, in
     the same text or another. Per row: the text's bytes, those removed, the maximal removed runs, the SHA-256 of the rest;
     with `with_text` also `kept`, the rest as binary (it may end within a character). NULL is an empty text; shorter texts
-    than `length` lose nothing. A repeated row repeats its whole text.
+    than `length` lose nothing. A repeated row repeats its whole text. `most_together` changes the plan, not the result.
     """
     rows = digested(docs)
     members, texts = rows.select("doc_id", "digest"), distinct_texts(rows)
@@ -213,24 +253,24 @@ def scan(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Data
                 yield pa.RecordBatch.from_pydict({"key": key[at], "span": span[at], "shard": of[at].astype(np.int32), "n": np.minimum(n, 2).astype(np.int8)})
 
     seen = written(rows.select("shard", "digest", "text").mapInArrow(local, "key long, span long, shard int, n byte"), "suffixes")
-    led = seen.groupBy("key").agg(F.sum("n").alias("c"), F.min("span").alias("least"), F.max("span").alias("most")).where("c > 1").select("key", (F.col("least") < F.col("most")).alias("several"))
+    led = seen.groupBy("key").agg(F.sum("n").alias("c"), F.min("span").alias("least"), F.max("span").alias("most")).where("c > 1").select("key", (F.col("least") < F.col("most")).alias("several"), (F.col("c") > most_together).alias("crowded"))
     shared = written(seen.join(led, "key"), "shared")
     spans = shared.groupBy("key", "span").agg((F.sum("n") > 1).alias("full"), F.min("shard").alias("from"))
-    placed = written(shared.join(spans, ["key", "span"]).select("key", "span", "shard", "several", "full", (F.col("several") & (F.col("shard") == F.col("from"))).alias("send")).distinct(), "placed")
+    placed = written(shared.join(spans, ["key", "span"]).select("key", "span", "shard", "several", "crowded", "full", (F.col("several") & (F.col("shard") == F.col("from"))).alias("send")).distinct(), "placed")
 
     def bodies(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        left = set(_code(*(wanted.column(c).to_numpy() for c in ("key", "span"))).tolist())
-        keys, spans, places, leads, out = [], [], [], [], []
+        left = dict(zip(_code(*(wanted.column(c).to_numpy() for c in ("key", "span"))).tolist(), wanted.column("crowded").to_pylist(), strict=True))
+        keys, spans, crowds, places, leads, out = [], [], [], [], [], []
         if left:
             for _, _, part, _, (first, last, anchor, key, span) in _anchored(first_copies(rows).column("text"), length):
                 raw = part.tobytes()
                 for k, code in enumerate(_code(key, span).tolist()):
                     if code in left:
-                        left.remove(code)
+                        crowds.append(left.pop(code))
                         a, b, at = int(first[k]), int(last[k]), int(anchor[k])
                         keys.append(key[k]), spans.append(span[k]), places.append(at - a), out.append(raw[a : b + length])
                         leads.append(int.from_bytes(raw[at : at + 8], "big") - (1 << 63))
-        return pa.table({"key": pa.array(keys, pa.int64()), "span": pa.array(spans, pa.int64()), "anchor": pa.array(places, pa.int32()), "lead": pa.array(leads, pa.int64()), "body": pa.array(out, pa.binary())})
+        return pa.table({"key": pa.array(keys, pa.int64()), "span": pa.array(spans, pa.int64()), "crowded": pa.array(crowds, pa.bool_()), "anchor": pa.array(places, pa.int32()), "lead": pa.array(leads, pa.int64()), "body": pa.array(out, pa.binary())})
 
     def cut(rows: pa.Table, verdicts: pa.Table) -> pa.Table:
         rows = first_copies(rows)
@@ -258,9 +298,11 @@ def scan(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Data
             {"digest": rows.column("digest"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(pieces, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary())}
         )
 
-    sent = texts.groupBy("shard").cogroup(placed.where("send").groupBy("shard")).applyInArrow(bodies, "key long, span long, anchor int, lead long, body binary")
-    ranged = sent.repartitionByRange("lead", "key").sortWithinPartitions("lead", "key")
-    partly = ranged.mapInArrow(lambda batches: _sorted_bucket(batches, length), "key long, span long, flags binary")
+    sent = texts.groupBy("shard").cogroup(placed.where("send").groupBy("shard")).applyInArrow(bodies, "key long, span long, crowded boolean, anchor int, lead long, body binary")
+    # Written, as sampling the splitters reads it too.
+    sent = written(sent, "bodies")
+    ranged = sent.where("NOT crowded").drop("crowded").repartitionByRange("lead", "key").sortWithinPartitions("lead", "key")
+    partly = ranged.mapInArrow(lambda batches: _sorted_bucket(batches, length), "key long, span long, flags binary").unionByName(_counted(sent.where("crowded"), length))
     whole = placed.where("full").select("shard", "key", "span", F.lit(None).cast("binary").alias("flags"))
     some = placed.where("several and not full").join(partly, ["key", "span"]).select("shard", "key", "span", "flags")
     verdicts = whole.unionByName(some)

@@ -83,6 +83,17 @@ def brute_removed(rows, length=200):
 def test_suffix_dedup_awkward(spark, docs, empty):
     assert Counter(map(tuple, suffix_dedup.scan(docs).collect())) == brute_removed(texts_of(AWKWARD))
     assert suffix_dedup.scan(empty).collect() == []
+    assert Counter(map(tuple, suffix_dedup.scan(docs, most_together=1).collect())) == brute_removed(texts_of(AWKWARD))
+
+
+def test_suffix_dedup_of_a_crowded_lead(spark):
+    """A passage below the length in very many contexts, some of which agree just far enough, on either way."""
+    passage = "the passage that all of them hold, word for word and blank for blank, " * 2
+    rows = [(k, f"{'left' * (k % 9)} {k // 40} {'before ' * 9}{passage}{'after ' * 12}{k % 40}{'right' * (k % 7)} {k}") for k in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert 0 < sum(r[2] for r in brute_removed(rows)) < sum(r[1] for r in brute_removed(rows))
+    for limit in (50, suffix_dedup.MOST_TOGETHER):
+        assert Counter(map(tuple, suffix_dedup.scan(frame, most_together=limit).collect())) == brute_removed(rows)
 
 
 def test_suffix_dedup_table(spark):
