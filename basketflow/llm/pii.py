@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,23 +151,31 @@ def _rewrites(text: str) -> list[Piece]:
     return kept
 
 
-def transduce(text: str, rewrites: list[Piece]) -> tuple[str, list[int], list[int]]:
+def transduce(text: str, rewrites: list[Piece]) -> tuple[str, array, array]:
     """The rewritten text, and for each of its characters the start and end of its source."""
-    out, start, end, at = [], [], [], 0
+    out, start, end, at = [], array("q"), array("q"), 0
     for a, b, new in rewrites:
         out.append(text[at:a])
-        start += range(at, a)
-        end += range(at + 1, a + 1)
+        start.extend(range(at, a))
+        end.extend(range(at + 1, a + 1))
         out.append(new)
-        start += [a] * len(new)
-        end += [b] * len(new)
+        start.extend([a] * len(new))
+        end.extend([b] * len(new))
         at = b
     out.append(text[at:])
-    start += range(at, len(text))
-    end += range(at + 1, len(text) + 1)
+    start.extend(range(at, len(text)))
+    end.extend(range(at + 1, len(text) + 1))
     return "".join(out), start, end
 
 
+def _overlapping(spans: list[Span], ends: list[int], span: Span) -> list[Span]:
+    """Those of `spans`, in order, without overlaps and ending at `ends`, that share a character with `span`."""
+    lo = hi = bisect_right(ends, span[0])
+    while hi < len(spans) and spans[hi][0] < span[1]:
+        hi += 1
+    return spans[lo:hi]
+
+
 #: Source characters on either side of a disguise that an identifier around it can reach.
 _REACH = 400
 
@@ -174,6 +184,7 @@ def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the rewritten text shows. Wider ones than a base span they overlap are added, others are not."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     rewrites = _rewrites(text)
+    base_ends = {k: [s[1] for s in v] for k, v in base.items()}
     # Disguises far from each other are treated apart, so the map stays as small as what it explains.
     lo = 0
     while lo < len(rewrites):
@@ -182,15 +193,15 @@ def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
             hi += 1
         a = max(0, rewrites[lo][0] - _REACH)
         b = min(len(text), rewrites[hi - 1][1] + _REACH)
-        part = [(x - a, y - a, new) for x, y, new in rewrites[lo:hi]]
-        plain, start, end = transduce(text[a:b], part)
+        places = [(x, y) for x, y, _ in rewrites[lo:hi]]
+        place_ends = [y for _, y in places]
+        plain, start, end = transduce(text[a:b], [(x - a, y - a, new) for x, y, new in rewrites[lo:hi]])
         for kind, spans in detect(plain).items():
             for x, y in spans:
                 span = (a + start[x], a + end[y - 1])
-                if not any(p + a < span[1] and q + a > span[0] for p, q, _ in part):
+                if not _overlapping(places, place_ends, span):
                     continue  # nothing disguised in it: the base detectors decide
-                over = [s for s in base[kind] if s[0] < span[1] and s[1] > span[0]]
-                if all(span[0] <= s[0] and s[1] <= span[1] and span != s for s in over):
+                if all(span[0] <= s[0] and s[1] <= span[1] and span != s for s in _overlapping(base[kind], base_ends[kind], span)):
                     found[kind].append(span)
         lo = hi
     return {k: sorted(set(v)) for k, v in found.items()}
