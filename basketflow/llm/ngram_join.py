@@ -243,13 +243,13 @@ def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Data
     return connected_components(found.unionByName(more))
 
 
-def scan(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def scan(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, with_keys: bool = False) -> DataFrame:
     """Each row of `docs` (doc_id, text; other columns are ignored) with its set's size and its component.
 
     Documents link when the share of common shingles in all of theirs reaches `percent` hundredths; the component is the
     smallest doc_id that links lead to. Equal texts link. NULL texts and texts without words have no shingles and no links:
     their component is their own id. Rows that repeat a doc_id are one document if the text is equal. NULL ids are kept and
-    take no part in the minimum.
+    take no part in the minimum. `with_keys` adds `digest` (MD5 of the text) and `key`, equal for all texts of a component.
     """
     rows = digested(docs)
     members, texts = rows.select("doc_id", "digest"), distinct_texts(rows)
@@ -262,5 +262,6 @@ def scan(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     keyed = found.select("digest", "n_shingles", "node").join(parts, "node", "left").join(least, "digest").select("digest", "n_shingles", "least", F.coalesce("component", "node", "digest").alias("key"))
     keyed = written(keyed, "keyed")
     lowest = keyed.groupBy("key").agg(F.min("least").alias("component_id"))
-    by_text = keyed.join(lowest, "key").select("digest", "n_shingles", "component_id")
-    return members.join(by_text, "digest").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_text = keyed.join(lowest, "key").select("digest", "n_shingles", "component_id", *(["key"] if with_keys else []))
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return members.join(by_text, "digest").select("doc_id", "n_shingles", component, *(["digest", "key"] if with_keys else []))

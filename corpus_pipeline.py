@@ -18,14 +18,18 @@ from basketflow.llm.registered import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon learned from the labels does not predict toxic."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scan(docs, lexicon).where(F.col("predicted") == 0).select(*docs.columns)
+    held = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"), "doc_id", "text")
+    kept = toxicity.scan(held, lexicon).where(F.col("predicted") == 0)
+    return kept.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id, once."""
-    parts = ngram_join.scan(docs)
-    first = parts.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of linked documents the one with the smallest id, once. An id may stand at unlinked texts; each stays."""
+    parts = ngram_join.scan(docs, with_keys=True).where(F.col("doc_id") == F.col("component_id"))
+    first = parts.groupBy("key", F.col("doc_id").alias("of_doc")).agg(F.min("digest").alias("of_digest"))
+    digest = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    named = docs.where(docs["doc_id"].isNotNull()).join(first, (docs["doc_id"] == first["of_doc"]) & (digest == first["of_digest"]), "left_semi")
+    named = named.dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -45,6 +45,20 @@ def test_stages_with_awkward_rows(spark):
         cp.STAGES[-1][1](spark, docs, SF).collect()
 
 
+def test_stages_with_clashing_columns_and_texts_that_share_an_id(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    names = ("score", "predicted", "held_out", "rest", "digest", "key", "of_doc", "spans", "n_words")
+    rows = [(1, one, *names), (1, other, *names), (1, other + " more", *names), (2, one, *names), (3, other, *names)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    columns = docs.dtypes
+    for _, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "test")
+        assert docs.dtypes == columns
+    left = docs.collect()
+    assert len(left) == 2 and all(r.doc_id == 1 and tuple(r)[2:] == names for r in left)
+    assert {r.text.split()[0] for r in left} == {"a0", "b0"}
+
+
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
     assert list(cp.PIPELINE_QUERIES) == ["pipeline"]
