@@ -76,34 +76,39 @@ def report_compare(daily: DataFrame, report: DataFrame, first: str, last: str) -
 # ---- exact quantiles -------------------------------------------------------
 
 
-def _stripe(x: Column) -> Column:
-    """Order-preserving stripe of a double: 32 per factor of e."""
-
-    def magnitude(v: Column) -> Column:
-        return F.lit(100_000) + F.floor(F.ln(v) * 32)
-
-    return F.when(x > 0, magnitude(x)).when(x < 0, -magnitude(-x)).otherwise(0).cast("int")
+#: Ranges that the distinct values of a key are cut into, evenly by number.
+STRIPES = 128
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: tuple[str, ...] = ()
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    keys: tuple[str, ...] = (),
+    weight: str | None = None,
+    stripes: int = STRIPES,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of
-    `probs` plus the count `n`.
-
-    Equal values are counted first, on the map side. Stripe totals (a few
-    hundred rows per key) give the rank at which every stripe starts; values
-    are then ranked within their stripe only. Distinct values of a key that all
-    lie in one stripe are ranked in one task.
+    `probs` plus the count `n`. `weight` names a column that tells how often a
+    row counts.
+
+    Equal values are counted first, on the map side. Approximate quantiles of
+    the distinct values cut them into stripes of about equal size, wherever the
+    values lie. Stripe totals (at most `stripes` rows per key) give the rank at
+    which every stripe starts; only values in the few stripes that hold an
+    asked rank are then ranked, within their stripe.
     """
     anchor = F.lit(0).alias("_all")
     keys_ = list(keys) or ["_all"]
     src = df.filter(F.col(value).isNotNull())
     src = src if keys else src.select("*", anchor)
-    counts = (
-        src.groupBy(*keys_, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("stripe", _stripe(F.col("v")))
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = src.groupBy(*keys_, F.col(value).cast("double").alias("v")).agg(times.alias("c"))
+    cuts = counts.groupBy(*keys_).agg(
+        F.percentile_approx("v", [k / stripes for k in range(1, stripes)], 10_000).alias("cuts")
+    )
+    counts = counts.join(cuts, keys_).select(
+        *keys_, "v", "c", F.size(F.filter("cuts", lambda cut: cut < F.col("v"))).alias("stripe")
     )
     per_key = W.partitionBy(*keys_)
     starts = (
@@ -117,12 +122,15 @@ def exact_quantiles(
             - F.col("sc"),
         )
         .withColumn("n", F.sum("sc").over(per_key))
-        .drop("sc")
     )
+    asked = F.lit(False)
+    for p in probs.values():
+        for rank in (F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))):
+            asked = asked | ((F.col("start") <= rank) & (rank < F.col("start") + F.col("sc")))
     within = (
         W.partitionBy(*keys_, "stripe").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    ranked = counts.join(starts, [*keys_, "stripe"]).withColumn(
+    ranked = counts.join(starts.filter(asked).drop("sc"), [*keys_, "stripe"]).withColumn(
         "upto", F.col("start") + F.sum("c").over(within)
     )
     ranked = ranked.withColumn("first", F.col("upto") - F.col("c"))
@@ -199,7 +207,7 @@ def lot_counts(lots: DataFrame) -> DataFrame:
 
 def lot_quantiles(lots: DataFrame, low: float = 0.001, high: float = 0.999) -> DataFrame:
     return exact_quantiles(
-        distinct_lots(lots), "num_lot", {"q_low": low, "q_high": high}, ("similarity",)
+        lot_counts(lots), "num_lot", {"q_low": low, "q_high": high}, ("similarity",), weight="c"
     )
 
 

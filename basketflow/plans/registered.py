@@ -23,6 +23,7 @@ from basketflow.operators import ticks as tk
 from basketflow.params import Calendar, DetectionParams
 from basketflow.plans import detect as dt
 from basketflow.plans import sweep as sw
+from basketflow.plans.weights import weights_from_pages
 from basketflow.session import prepare, shared_dir
 from basketflow.sources import pages as pg
 from basketflow.sources import tables as tb
@@ -581,6 +582,19 @@ def fx_fill(spark, sf_dir):
     return filled.withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
 
 
+@register
+def rate_gaps(spark, sf_dir):
+    """Days whose basket lacks the exchange rates."""
+    return pg.dates_without_rates(ba.clean_basket(fx.raw_basket(spark, sf_dir))).select(day("Date"))
+
+
+@register
+def pages_to_weights(spark, sf_dir):
+    """Fund pages to basket rows, to the previous day's volume and weight."""
+    rows = weights_from_pages(fx.fund_pages(spark, sf_dir))
+    return rows.select(day("Date"), "stock", "volume", half_even(F.col("weight"), 8).alias("weight"))
+
+
 @register
 def missing_dates(spark, sf_dir):
     """Calendar days whose file is not stored yet, with the weekend mark."""

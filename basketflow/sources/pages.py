@@ -185,6 +185,16 @@ def holdings_rows(pages: DataFrame) -> DataFrame:
     return page_level.select("*", F.inline("holdings")).drop("holdings")
 
 
+#: Columns of the page tables that stay text; every other text column is a number.
+TEXT_COLUMNS = frozenset({"etf_code", "stock_code", "stock_name", "fund_purchase", "fund_redemption"})
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """The scraped numbers as doubles; what is no number gives NULL."""
+    numbers = [c for c, t in rows.dtypes if t == "string" and c not in TEXT_COLUMNS]
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in numbers})
+
+
 def first_requests(rows: DataFrame) -> DataFrame:
     """Per fund and data date the earliest requested date. Aggregated on the map
     side, so a data date that very many pages repeat does no harm."""

@@ -51,6 +51,23 @@ ORACLES = {
         CASE WHEN day(o_orderdate) > 9 THEN 25000.0::DOUBLE + day(o_orderdate)
              WHEN day(o_orderdate) <> 3 THEN 25000.5::DOUBLE + day(o_orderdate) END AS usd_to_vnd
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+    "rate_gaps": """SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS "Date"
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE day(o_orderdate) <= 9""",
+    "pages_to_weights": f"""WITH {PAGES},
+      once AS (SELECT data_d, min(d) AS d FROM pages_ WHERE day(d) <> 25 GROUP BY data_d),
+      basket AS (
+        SELECT data_d, split_part(code, ' ', 1) AS stock, c * 1000::DOUBLE AS shares, v::DOUBLE AS market_value,
+               CAST(printf('%.2f', round_even(v / nav * 10000, 0) / 100) AS DOUBLE) / 100 AS weight, nav, {PER_UNIT}
+        FROM once JOIN p USING (d) JOIN held USING (d)
+        UNION ALL SELECT data_d, 'ZZZ', 1, 2, 3::DOUBLE / 100, nav, {PER_UNIT} FROM once JOIN p USING (d) WHERE day(d) = 20),
+      comp AS (SELECT d AS data_d, nav, {PER_UNIT}, (nav // n)::DOUBLE AS equity FROM p),
+      sized AS (
+        SELECT data_d, stock, weight,
+               round_even(floor(weight * equity / nullif(market_value / nullif(shares, 0), 0)) / 100, 0) * 100 AS quantity
+        FROM basket LEFT JOIN comp USING (data_d, nav, nav_per_unit))
+      SELECT strftime(data_d, '%Y-%m-%d') AS "Date", stock, lag(quantity) OVER w AS volume,
+             round_even(lag(weight) OVER w * 1e8::DOUBLE, 0) / 1e8::DOUBLE AS weight
+      FROM sized WINDOW w AS (PARTITION BY stock ORDER BY data_d)""",
     "missing_dates": f"""WITH {PAGES},
       days AS (SELECT unnest(generate_series((SELECT min(d) FROM p WHERE day(d) % 2 = 0),
                  (SELECT max(d) FROM p WHERE day(d) % 2 = 0), INTERVAL 1 DAY))::DATE AS d)

@@ -95,6 +95,21 @@ def test_quantiles_with_negative_and_equal_values(spark):
         assert got == pytest.approx(np.quantile(values, p))
 
 
+def test_quantiles_of_values_close_together(spark):
+    """Many values in a narrow range, and a weight: the ranked values are a small part of all."""
+    import numpy as np
+
+    df = spark.range(20_000).selectExpr("id % 2 AS k", "1e6 + (id * 7919 % 20011) / 200110.0 AS v", "1 + id % 3 AS c")
+    pdf = df.toPandas()
+    got = {r.k: r for r in ev.exact_quantiles(df, "v", {"a": 0.001, "b": 0.5}, ("k",), weight="c").collect()}
+    for k in (0, 1):
+        part = pdf[pdf.k == k]
+        values = np.repeat(part.v.to_numpy(), part.c.to_numpy())
+        assert got[k].n == len(values)
+        assert got[k].a == pytest.approx(np.quantile(values, 0.001), abs=1e-9)
+        assert got[k].b == pytest.approx(np.quantile(values, 0.5), abs=1e-9)
+
+
 def test_best_keeps_the_stored_one_on_a_tie(spark):
     schema = "stage string, param_id bigint, mae double"
     new = spark.createDataFrame([("s", 1, 2.0), ("s", 2, float("nan")), ("s", 3, None)], schema)
