@@ -8,6 +8,7 @@ band; the alignment gives the share of the template that is there, and where.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -107,14 +108,14 @@ class Index:
         return [(t, int(p), q) for p in at for t, q in self.places[int(codes[p])]]
 
 
-def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment within `band` words of a diagonal: (matched words, first matched word, end of the last).
+def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, ...]:
+    """Places in `words` that the best local alignment within `band` words of a diagonal matches, in order.
 
     A match counts 2, a mismatch or a left-out word -1. The diagonal is a word's place in the text less that in the template.
     """
     m, n = len(template), len(words)
-    # Per band column: (score, matches, first, end); column c of row i is text place i + diagonal + c - band.
-    empty = (0, 0, -1, -1)
+    # Per band column: (score, matches, (last matched place, those before)); column c of row i is text place i + diagonal + c - band.
+    empty = (0, 0, None)
     above = [empty] * (2 * band + 1)
     best = empty
     for i in range(m):
@@ -123,39 +124,74 @@ def align(template: list[int], words: list[int], diagonal: int, band: int = BAND
             j = i + diagonal + c - band
             if not 0 <= j < n:
                 continue
-            s, k, a, e = above[c]
+            s, k, at = above[c]
             if template[i] == words[j]:
-                cell = (s + 2, k + 1, j if a < 0 else a, j + 1)
+                cell = (s + 2, k + 1, (j, at))
             else:
-                cell = (s - 1, k, a, e) if s > 1 else empty
-            for s, k, a, e in ((above[c + 1] if c < 2 * band else empty), (row[c - 1] if c else empty)):
+                cell = (s - 1, k, at) if s > 1 else empty
+            for s, k, at in ((above[c + 1] if c < 2 * band else empty), (row[c - 1] if c else empty)):
                 if s - 1 > cell[0]:
-                    cell = (s - 1, k, a, e)
+                    cell = (s - 1, k, at)
             row[c] = cell
             if cell[:2] > best[:2]:
                 best = cell
         above = row
-    return best[1:]
+    places, at = [], best[2]
+    while at:
+        places.append(at[0])
+        at = at[1]
+    return tuple(places[::-1])
+
+
+def _copies(template: list[int], hits: list[tuple[int, int]], listed: list[int], band: int, least: float) -> list[tuple[int, ...]]:
+    """Matched places of each copy of one template; `hits` are (place in the document, diagonal).
+
+    Copies share no word: each hit is aligned with the words between the copies before and after it that are known, so one
+    of several copies within the band never stands for another.
+    """
+    taken: list[tuple[int, ...]] = []  # in order of their places
+    failed: list[tuple[int, int]] = []
+    for p, diagonal in sorted(hits):
+        while True:
+            after = bisect_right(taken, p, key=lambda x: x[0])
+            floor = taken[after - 1][-1] + 1 if after else 0
+            if p < floor or any(abs(diagonal - d) <= band and p < end for d, end in failed[-2 * band - 1 :]):
+                break
+            lo, hi = max(floor, diagonal - band), min(len(listed), diagonal + len(template) + band)
+            if after < len(taken):
+                hi = min(hi, taken[after][0])
+            matched = align(template, listed[lo:hi], diagonal - lo, band)
+            if not matched or len(matched) < least * len(template):
+                failed.append((diagonal, lo + matched[-1] + 1 if matched else hi))
+                break
+            taken.insert(after, tuple(lo + j for j in matched))
+    return taken
+
+
+def _best_covered(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, tuple[int, ...]]]:
+    """Those of `found` (template, matched places) whose words are not for the most part matched by a template with more words there.
+
+    Templates that match equally many stay both: the text does not tell which is meant.
+    """
+    kept = []
+    owner: dict[int, int] = {}  # most words of a kept match at a place
+    for t, places in sorted(found, key=lambda x: -len(x[1])):
+        if 2 * sum(owner.get(j, 0) > len(places) for j in places) < len(places):
+            kept.append((t, places))
+            for j in places:
+                owner.setdefault(j, len(places))
+    return kept
 
 
 def _matches(text: str, words: list[bytes], ids: np.ndarray, index: Index, band: int, least: float) -> list[tuple]:
     """(name, coverage, matched, start, end) of each template found, in code points, without repeats of one place."""
     by_template = defaultdict(list)
     for t, p, q in index.hits(ids):
-        by_template[t].append((p - q, p))
+        by_template[t].append((p, p - q))
     if not by_template:
         return []
-    listed, found = ids.tolist(), []
-    for t, hits in by_template.items():
-        template, done = index.words[t], []
-        for diagonal, p in sorted(hits, key=lambda x: (x[1], x[0])):
-            if any(abs(diagonal - d) <= band and p < end for d, end in done):
-                continue
-            lo, hi = max(0, diagonal - band), min(len(listed), diagonal + len(template) + band)
-            matched, first, end = align(template, listed[lo:hi], diagonal - lo, band)
-            done.append((diagonal, hi if end < 0 else lo + end))
-            if matched and matched >= least * len(template):
-                found.append((t, matched, lo + first, lo + end))
+    listed = ids.tolist()
+    found = _best_covered([(t, places) for t, hits in by_template.items() for places in _copies(index.words[t], hits, listed, band, least)])
     if not found:
         return []
     raw = text.encode("utf-8", "surrogatepass")
@@ -168,14 +204,16 @@ def _matches(text: str, words: list[bytes], ids: np.ndarray, index: Index, band:
     def place(byte: int) -> int:
         return len(raw[:byte].decode("utf-8", "surrogatepass"))
 
-    return sorted({(index.names[t], round(k / len(index.words[t]), 6), k, place(starts[a]), place(starts[b - 1] + len(words[b - 1]))) for t, k, a, b in found}, key=lambda x: (x[3], x[4], x[0]))
+    rows = [(index.names[t], round(len(x) / len(index.words[t]), 6), len(x), place(starts[x[0]]), place(starts[x[-1]] + len(words[x[-1]]))) for t, x in found]
+    return sorted(rows, key=lambda x: (x[3], x[4], x[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """One row per place in `docs` (doc_id, text; other columns are ignored) where a template's words are found.
 
     `coverage` is the share of the template's words that the alignment matches, at least `least_coverage`; `start` and `end`
-    are code points around the first and last of them. Words are runs of letters and digits; case does not count. NULL and
+    are code points around the first and last of them. Copies in a row are a row each; where the words of one template lie for
+    the most part among the words of a longer match, only that one is reported. Words are runs of letters and digits; case does not count. NULL and
     empty texts have no rows. Repeated rows are reported once each. Templates without words are never found.
     """
     index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))

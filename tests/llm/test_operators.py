@@ -230,6 +230,27 @@ def test_license_spans(spark, docs, empty):
     assert license_scan.scan(docs).collect() == license_scan.scan(empty).collect() == []
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0 notice", "MIT notice", "CC BY-NC notice", "MPL-2.0", "ISC", "Apache-2.0 header"])
+@pytest.mark.parametrize("between", [" ", ". An end.\n", " x" * 9 + " "])
+def test_license_copies_in_a_row(spark, name, between):
+    line = license_scan.TEMPLATES[name]
+    text = "é before " + between.join([line] * 5) + " after"
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    step = len(line) + len(between)
+    assert [(r.license, r.coverage) for r in found] == [(name, 1.0)] * 5
+    assert [r.start for r in found] == [9 + k * step for k in range(5)]
+
+
+def test_best_covered_license(spark):
+    sa, nc, header = (license_scan.TEMPLATES[n] for n in ("CC BY-SA notice", "CC BY-NC notice", "Apache-2.0 header"))
+    rows = [(1, f"{nc}. {sa}. {nc}"), (2, f"Here: {sa}!"), (3, header), (4, header.replace("Unless required", f"{nc}. Unless required"))]
+    found = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id].append(r.license)
+    assert found[1] == ["CC BY-NC notice", "CC BY-SA notice", "CC BY-NC notice"] and found[2] == ["CC BY-SA notice"]
+    assert found[3] == ["Apache-2.0 header"] and found[4] == ["Apache-2.0 header", "CC BY-NC notice"]
+
+
 # ---- 5
 
 
