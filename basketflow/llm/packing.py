@@ -9,6 +9,7 @@ gives full sequences. At most one sequence's worth of padding is left per group.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -58,7 +59,7 @@ class _Chunks(dict):
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids as the `tokenizers` file at `path` gives them without special tokens, on a faster engine.
+    """text -> ids by the vocabulary of the `tokenizers` file at `path` alone, on a faster engine.
 
     The vocabulary's ids are merge ranks, so the file can be loaded as a rank table. Their equality is a test.
     """
@@ -81,6 +82,33 @@ def encoder(path: str):
     return encode
 
 
+@lru_cache(maxsize=2)
+def file_encoder(path: str):
+    """text -> ids as the `tokenizers` file at `path` gives them: its added tokens are one id each wherever a text has them.
+
+    Only added tokens that are matched as they are written can be loaded; other kinds are an error.
+    """
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if other := [x["content"] for x in added if any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]:
+        raise ValueError(f"added tokens that are not matched as written: {other}")
+    plain = encoder(path)
+    ids = {x["content"]: x["id"] for x in added if x["content"]}
+    if not ids:
+        return plain
+    # The first in the text, of several at one place the longest.
+    token = re.compile("|".join(map(re.escape, sorted(ids, key=lambda x: (-len(x), x)))))
+
+    def encode(text: str) -> np.ndarray:
+        parts, at = [], 0
+        for m in token.finditer(text):
+            parts += [plain(text[at : m.start()]), np.array([ids[m.group()]], "<u4")]
+            at = m.end()
+        return np.concatenate([*parts, plain(text[at:])]).astype("<u4", copy=False) if parts else plain(text)
+
+    return encode
+
+
 def balanced(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) for documents of the given lengths.
 
@@ -134,12 +162,12 @@ def pack(
 
     One row per piece: its document, place in the document, CRC-32 of its ids as little-endian 32-bit numbers, the document's
     tokens (with the end id), its sequence and the place there; with `with_ids` the ids too. A NULL or empty text is the
-    end id alone. Repeated rows are packed once each. An empty table gives no rows. Costs are `linear * n + quadratic * n * n`
+    end id alone. A text that holds an added token of the file as written has that token's id there. Repeated rows are packed once each. An empty table gives no rows. Costs are `linear * n + quadratic * n * n`
     per piece. Sequence numbers are unique; they depend on how Spark splits the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = file_encoder(tokenizer_path)
         next_id = TaskContext.get().partitionId() << 33
         ids: list[np.ndarray] = []
         docs_of: list[int | None] = []

@@ -334,6 +334,24 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, tokenizer_path()).collect() == []
 
 
+def test_added_tokens_are_one_id_each(spark):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(tokenizer_path())  # as loaded
+    encode = packing.file_encoder(tokenizer_path())
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "a", " ", "  ", "\n", "'s", "é", "漢", "12", "."]), max_size=12).map("".join))
+    def same(text):
+        assert encode(text).tolist() == known.encode(text, add_special_tokens=False).ids
+
+    same()
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>" * 3, 3: "none"}
+    rows = packing.pack(spark.createDataFrame([*texts.items()], "doc_id long, text string"), tokenizer_path(), with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: [*known.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60))
 def test_balanced_places_every_token_once(lengths):
