@@ -178,7 +178,7 @@ def dense_weights(shifted: DataFrame) -> DataFrame:
 
 def all_stocks(shifted: DataFrame, most: int = 2000) -> list[str]:
     """The stocks that a wide table gets columns for, in order. More than `most`
-    are an error: such a table is better kept long."""
+    are an error: `wide_maps` holds any number."""
     found = shifted.select("stock").where("stock IS NOT NULL").distinct().limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} stocks")
@@ -197,6 +197,23 @@ def wide_weights(shifted: DataFrame, stocks: list[str] | None = None) -> DataFra
     )
 
 
+def wide_maps(shifted: DataFrame) -> DataFrame:
+    """One row per date with a map from every stock there is to its volume and
+    weight, however many stocks there are. A second row for a date and stock is
+    an error."""
+    entry = F.struct("stock", F.struct("volume", "weight"))
+    dense = dense_weights(shifted)
+    return dense.groupBy("Date").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("stock").isNotNull(), entry))).alias("stocks")
+    )
+
+
+def long_from_maps(wide: DataFrame) -> DataFrame:
+    """Back to one row per date and stock."""
+    rows = wide.select("Date", F.explode("stocks").alias("stock", "at"))
+    return rows.select("Date", "stock", "at.volume", "at.weight")
+
+
 def long_from_wide(wide: DataFrame, stocks: list[str]) -> DataFrame:
     """Back to one row per date and stock."""
     parts = F.array(

@@ -537,10 +537,8 @@ def weight_dense(spark, sf_dir):
 
 @register
 def weight_wide(spark, sf_dir):
-    """Columns for every stock there is, read back as rows."""
-    shifted = _shifted(spark, sf_dir)
-    stocks = ba.all_stocks(shifted)
-    rows = ba.long_from_wide(ba.wide_weights(shifted, stocks), stocks)
+    """One row per date with every stock there is, read back as rows."""
+    rows = ba.long_from_maps(ba.wide_maps(_shifted(spark, sf_dir)))
     return rows.select(day("Date"), "stock", "volume", half_even(F.col("weight"), 8).alias("weight"))
 
 

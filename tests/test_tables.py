@@ -201,6 +201,18 @@ def test_all_stocks_become_columns(spark):
         ba.wide_weights(df.unionByName(df)).collect()
 
 
+def test_weight_wide_of_very_many_stocks(spark, monkeypatch):
+    from basketflow.plans import registered
+
+    rows = spark.range(2500).selectExpr("date'2024-01-01' AS Date", "concat('S', id) AS stock", "CAST(id AS double) AS volume", "id / 7 AS weight")
+    rows = rows.unionByName(rows.where("stock IN ('S3', 'S2400')").withColumn("Date", F.expr("date'2024-01-02'")))
+    monkeypatch.setattr(registered, "_shifted", lambda spark, sf_dir: rows)
+    wide, dense = (sorted(map(tuple, registered.QUERIES[q](spark, "").collect()), key=lambda r: r[:2]) for q in ("weight_wide", "weight_dense"))
+    assert len(wide) == 5000 and wide == dense
+    with pytest.raises(Exception, match="duplicate weight row"):
+        ba.wide_maps(rows.unionByName(rows)).collect()
+
+
 def test_nested_table_and_entities(spark):
     from basketflow.functions.text import elements_of_class, visible_text
 
