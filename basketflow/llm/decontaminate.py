@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Every task turns its documents into shards of bounded size and builds each shard's suffix array over words. All suffixes of
-the benchmark are then binary-searched in it. That gives each verbatim match with its place; matches on one diagonal
-join to the longest ones. Documents are never shuffled. The benchmark is sent in blocks of bounded size, each a
-further pass over the rows, so its size is not limited by an executor's memory.
+Every task turns its documents into shards of bounded size and builds each shard's suffix array over words. Each distinct
+window of the benchmark's suffixes is then binary-searched in it once, so a word of the text begins at most one match of a
+length. Hit words come from the windows, items from a list by window, and runs of windows that follow each other in an item
+are the longest matches. Documents are never shuffled. The benchmark is sent in blocks of bounded size over its distinct
+texts, each a further pass over the rows, so its size is not limited by an executor's memory.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: Word ids in a sort key; ids take _BITS bits each.
 _WIDE, _BITS = 3, 21
 
+#: Names of items in one batch of rows, and in what is kept of the texts before.
+_BATCH_NAMES = 1 << 18
+
 #: What the passes over the blocks fill in.
 _FOUND = ["n_words", "spans", "items", "longest", "longest_item", "longest_start"]
 
@@ -100,23 +104,63 @@ def find(order: np.ndarray, after: np.ndarray, query: np.ndarray) -> tuple[np.nd
     return lo, hi
 
 
+class Windows:
+    """The distinct windows of one length, and for each where the items have it."""
+
+    def __init__(self, rows: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        self.query, which = np.unique(rows, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        order = np.argsort(which, kind="stable")
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(self.query)))])
+        #: By window: the items that have it, and its places, in order, in one numbering that leaves a gap after each item.
+        self.item, self.place = item[order], place[order]
+
+    def of(self, window: int) -> slice:
+        return slice(self.begin[window], self.begin[window + 1])
+
+    def longest(self, run: np.ndarray) -> tuple[int, int, np.ndarray]:
+        """Of windows that begin at words in a row: how many follow each other in an item at most, the first of them, the items.
+
+        Only the places of one window and of the one before it are held at a time.
+        """
+        best, before, since = (0, 0, run[:0]), run[:0], run[:0]
+        for k, window in enumerate(run):
+            at = self.of(window)
+            place = self.place[at]
+            first = np.full(len(place), k)
+            if len(before):
+                j = np.minimum(np.searchsorted(before, place - 1), len(before) - 1)
+                first = np.where(before[j] == place - 1, since[j], first)
+            if k + 1 - (least := int(first.min())) > best[0]:
+                best = (k + 1 - least, least, self.item[at][first == least])
+            before, since = place, first
+        return best
+
+
 class Benchmark:
-    """One block of test items: their words as ids, their suffixes of one window (or, if shorter, whole) by length."""
+    """One block of test items (their ids, text): their words as ids, their windows (or, if shorter, all words) by length."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[list[str], str]], window: int) -> None:
         ids: dict[bytes, int] = {}
-        self.names, rows = [], defaultdict(list)
-        for name, text in items:
-            found = [ids.setdefault(w, len(ids) + 1) for w in words_of(text)]
-            n = min(window, len(found))
-            rows[n] += [(found[k : k + n], len(self.names), k) for k in range(len(found) - n + 1) if n]
-            self.names.append(name)
+        self.names, rows, places = [], defaultdict(list), defaultdict(int)
+        for names, text in items:
+            found = np.array([ids.setdefault(w, len(ids) + 1) for w in words_of(text)], np.int64)
+            if n := min(window, len(found)):
+                part = np.lib.stride_tricks.sliding_window_view(found, n)
+                rows[n].append((part, np.full(len(part), len(self.names)), places[n] + np.arange(len(part))))
+                places[n] += len(part) + 1
+            self.names.append(names)
         self.ids = ids
-        self.queries = {n: (np.array([r[0] for r in x], np.int64), np.array([r[1] for r in x]), np.array([r[2] for r in x])) for n, x in rows.items() if x}
+        self.windows = {n: Windows(*(np.concatenate(c) for c in zip(*x, strict=True))) for n, x in rows.items()}
+
+
+#: What a text shares with a block: its words, (start, end) of the runs of hit words, the names of the items, and the longest
+#: match (words, first word, name).
+_Shared = tuple[int, list[tuple[int, int]], list[str], tuple[int, int, str] | None]
 
 
-def _search(texts: list[str], bench: Benchmark) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
-    """Per text: its number of words, and (start, end, item, start in the item) of each longest match."""
+def _search(texts: list[str], bench: Benchmark, with_names: bool = True) -> Iterator[_Shared]:
+    """What each text shares with the block. Each distinct window is searched once; a word of a text begins one of each length."""
     ids: defaultdict[bytes, int] = defaultdict(count(len(bench.ids) + 1).__next__)
     ids.update(bench.ids)
     words = [[ids[w] for w in words_of(t)] for t in texts]
@@ -129,51 +173,86 @@ def _search(texts: list[str], bench: Benchmark) -> list[tuple[int, list[tuple[in
     seq = np.zeros(begin[-1], np.int64)
     for k, x in enumerate(words):
         seq[begin[k] : begin[k] + len(x)] = x
-    out: list[tuple[int, list]] = [(int(n), []) for n in lengths]
-    if not bench.queries:
-        return out
-    order, after = suffix_array(seq, max(bench.queries))
-    found = []
-    for n, (query, item, start) in bench.queries.items():
-        lo, hi = find(order, after, query)
-        hits = hi - lo
-        which = np.repeat(np.arange(len(query)), hits)
-        at = order[np.repeat(lo, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)]
-        found.append(np.stack([item[which], at - start[which], at, np.full(len(at), n)], 1))
-    rows = np.concatenate(found)
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-    if len(rows):
-        # Matches of one item on one diagonal that follow each other word by word are one longer match.
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1) | (rows[1:, 2] != rows[:-1, 2] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(rows)) - 1
-        for a, b in zip(first, last, strict=True):
-            item, diagonal, at, _ = rows[a]
-            doc = int(np.searchsorted(begin, at, "right")) - 1
-            out[doc][1].append((int(at - begin[doc]), int(rows[b, 2] + rows[b, 3] - begin[doc]), int(item), int(at - diagonal)))
-    return out
-
-
-def _pass(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """One block's matches added to each row."""
+    hits: list[tuple[int, np.ndarray, np.ndarray]] = []
+    if bench.windows:
+        order, after = suffix_array(seq, max(bench.windows))
+        for n, windows in sorted(bench.windows.items(), reverse=True):
+            lo, hi = find(order, after, windows.query)
+            many = hi - lo
+            which = np.repeat(np.arange(len(many)), many)
+            at = order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            by = np.argsort(at)
+            if len(at):
+                hits.append((n, at[by], which[by]))
+    # Texts that hit the same windows have the same items, and equal runs the same longest match.
+    known_names: dict[tuple, list[str]] = {}
+    kept_names = 0
+    known_runs: dict[tuple[int, bytes], tuple[int, int, str]] = {}
+    for k, n_words in enumerate(lengths):
+        spans, own, best = [], [], None
+        for n, at, which in hits:
+            a, b = np.searchsorted(at, begin[k : k + 2])
+            if a == b:
+                continue
+            windows, full = bench.windows[n], best is None
+            own.append((n, np.unique(which[a:b])))
+            cuts = np.flatnonzero(np.diff(at[a:b]) != 1) + 1
+            for run, part in zip(np.split(at[a:b] - begin[k], cuts), np.split(which[a:b], cuts), strict=True):
+                start = int(run[0])
+                spans.append((start, int(run[-1]) + n))
+                if not full:
+                    continue  # windows of this length are shorter than a match there is
+                key = (n, part.tobytes())
+                if key not in known_runs:
+                    more, first, items = windows.longest(part)
+                    known_runs[key] = (n + more - 1, first, min(x for i in set(items.tolist()) for x in bench.names[i]))
+                size, first, name = known_runs[key]
+                best = min(best or (0, 0, ""), (size, start + first, name), key=lambda m: (-m[0], m[1], m[2]))
+        names: list[str] = []
+        if own and with_names:
+            key = tuple((n, x.tobytes()) for n, x in own)
+            if key not in known_names:
+                items = {i for n, x in own for w in x for i in bench.windows[n].item[bench.windows[n].of(w)].tolist()}
+                names = sorted({x for i in items for x in bench.names[i]})
+                if kept_names + len(names) > _BATCH_NAMES:
+                    known_names, kept_names = {}, 0
+                known_names[key] = names
+                kept_names += len(names)
+            names = known_names[key]
+        yield int(n_words), spans, names, best
+
+
+def _pass(docs: DataFrame, bench: Benchmark, with_names: bool, report=None, schema=None) -> DataFrame:
+    """One block's matches added to each row; then `report`, if there is one, makes rows of `schema` of them."""
     sent = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SHARD_BYTES):
                 rows = batch.select(_FOUND).to_pydict()
-                for k, (n, matches) in enumerate(_search(batch.column("text").to_pylist(), sent.value)):
-                    rows["n_words"][k] = n
-                    rows["spans"][k] = rows["spans"][k] + [x for a, b, _, _ in matches for x in (a, b)]
-                    rows["items"][k] = sorted({*rows["items"][k], *(sent.value.names[i] for _, _, i, _ in matches)})
-                    if matches:
-                        a, b, i, _ = min(matches, key=lambda m: (m[0] - m[1], m[0], m[2]))
-                        if b - a > rows["longest"][k]:
-                            rows["longest"][k], rows["longest_item"][k], rows["longest_start"][k] = b - a, sent.value.names[i], a
-                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) if f.name in rows else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+                def part(lo: int, hi: int, batch=batch, rows=rows) -> pa.RecordBatch:
+                    own = batch.slice(lo, hi - lo)
+                    return pa.RecordBatch.from_arrays([pa.array(rows[f.name][lo:hi], f.type) if f.name in rows else own.column(f.name) for f in batch.schema], schema=batch.schema)
+
+                lo = held = 0
+                for k, (n, spans, names, best) in enumerate(_search(batch.column("text").to_pylist(), sent.value, with_names)):
+                    rows["n_words"][k] = n
+                    if spans:
+                        rows["spans"][k] = rows["spans"][k] + [x for ab in spans for x in ab]
+                        rows["items"][k] = sorted({*rows["items"][k], *names}) if rows["items"][k] else names
+                        size, start, name = best
+                        if (-size, start, name) < (-rows["longest"][k], rows["longest_start"][k] or 0, rows["longest_item"][k] or ""):
+                            rows["longest"][k], rows["longest_item"][k], rows["longest_start"][k] = size, name, start
+                    held += len(rows["items"][k])
+                    if held >= _BATCH_NAMES:
+                        yield part(lo, k + 1)
+                        rows["items"][lo : k + 1] = [[]] * (k + 1 - lo)
+                        lo, held = k + 1, 0
+                if lo < batch.num_rows:
+                    yield part(lo, batch.num_rows)
+
+    return docs.mapInArrow((lambda batches: report(run(batches))) if report else run, schema or docs.schema)
 
 
 def _covered(spans: list[int]) -> int:
@@ -204,29 +283,34 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[list[str], str]]]:
+    """(ids, text) of each distinct text, in blocks of about `block_bytes` of text."""
     items = bench.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
+    items = items.groupBy("text").agg(F.collect_set("name").alias("names"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r["name"], r["text"]) for r in part.distinct().collect()]
+        yield [(r["names"], r["text"]) for r in part.collect()]
 
 
-def _searched(rows: DataFrame, bench: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """`rows`, which have a text, with what all blocks of the benchmark find in it."""
+def _searched(rows: DataFrame, bench: DataFrame, window: int, block_bytes: int, with_names: bool = True, report=None, schema=None) -> DataFrame:
+    """`rows`, which have a text, with what all blocks of the benchmark find in it, or what the last pass reports of it."""
     none = {"n_words": "long", "spans": "array<long>", "items": "array<string>", "longest": "long", "longest_item": "string", "longest_start": "long"}
     start = {"n_words": F.lit(0), "longest": F.lit(0), "spans": F.array(), "items": F.array()}
     rows = rows.withColumns({n: start.get(n, F.lit(None)).cast(kind) for n, kind in none.items()})
-    for block in [*_blocks(bench, block_bytes)] or [[]]:
-        rows = _pass(rows, Benchmark(block, window))
-    return rows
+    last: list[tuple[list[str], str]] | None = None
+    for block in _blocks(bench, block_bytes):
+        if last is not None:
+            rows = _pass(rows, Benchmark(last, window), with_names)
+        last = block
+    return _pass(rows, Benchmark(last or [], window), with_names, report, schema)
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` without those that share a window with an item, all columns as they were."""
     held = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"), F.col("text").isNull().alias("absent"), text_of().alias("text"))
-    kept = _searched(held, bench, window, block_bytes).where(F.size("spans") == 0)
+    kept = _searched(held, bench, window, block_bytes, with_names=False).where(F.size("spans") == 0)
     text = F.when(~F.col("absent"), F.col("text")).alias("text")
     return kept.select(*[text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
@@ -236,12 +320,10 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int =
 
     A window is `window` consecutive words of an item, or the whole item if it is shorter but not empty. Per row of `docs`:
     its words, those inside any occurrence of a window, the items with occurring windows (their number and the SHA-256 of
-    their ids), whether there are any, and the longest verbatim match (words, item, first word; earliest of equals).
+    their ids), whether there are any, and the longest verbatim match (words, item, first word; of equals the earliest, then the smallest id).
     NULL or empty texts have no words. Items with a NULL id go by the name `null`. Items with equal ids count as one.
     Repeated rows are reported once each; other columns are ignored; with an empty benchmark nothing is contaminated.
     """
-    rows = _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), bench, window, block_bytes)
-    return rows.mapInArrow(
-        _report,
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_start long",
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_start long"
+    return _searched(rows, bench, window, block_bytes, report=_report, schema=schema)

@@ -460,6 +460,29 @@ def test_decontamination_table(spark):
     assert Counter(tuple(r)[:6] for r in got) == brute_hits(real(spark), bench)
 
 
+def test_decontamination_of_a_shared_prompt(spark):
+    """Very many items that share a prompt: a document's spans don't grow with them."""
+    prompt = "read the text below and pick the best answer to this question"
+    items = [(k, f"{prompt} what is item{k} of {k % 7} and why") for k in range(1500)] + [(9000 + k, f"{prompt} of all") for k in range(500)]
+    rows = [(k, f"some {k} words {prompt} but of its own {k} {prompt} what is item{k} of {k % 7} then") for k in range(60)] + [(70, f"x {prompt} of all {prompt} of all")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (8 << 20, 20_000):
+        got = decontaminate.scan(frame, bench, block_bytes=block_bytes).collect()
+        assert Counter(tuple(r)[:6] for r in got) == brute_hits(rows, items)
+        longest = {r.doc_id: (r.longest, r.longest_item, r.longest_start) for r in got}
+        assert longest == {k: (17, str(k), 3 + 12 + 5) for k in range(60)} | {70: (14, "9000", 1)}
+    found = decontaminate._searched(frame, bench, 10, 8 << 20)
+    assert found.selectExpr("max(size(spans)) AS n").first().n <= 4
+
+
+def test_decontamination_blocks_of_a_repeated_text(spark):
+    items = [(k, "one and the same text of a test that is there very often") for k in range(400)] + [(1000 + k, f"a text of its own, number {k}, in the test") for k in range(200)]
+    blocks = [*decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string"), 2000)]
+    assert max(sum(len(x[1]) for x in block) for block in blocks) <= 4000
+    assert sorted(x for block in blocks for names, _ in block for x in names) == sorted(str(i) for i, _ in items)
+
+
 # ---- 10
 
 
