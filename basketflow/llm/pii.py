@@ -111,44 +111,101 @@ ONE_TO_ONE = _one_to_one()
 _FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, ONE_TO_ONE))) + _INVISIBLE + "]")
 
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: Three or more digit words in a row, or some beside digits: fewer are ordinary prose.
-_SPOKEN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{_NUMBER}|[0-9]+)[\s.,-]{{1,3}}){{2,}}(?:{_NUMBER}|[0-9]+)(?!\w)")
-_SPOKEN_WORD = re.compile(rf"(?i)(plus|{_NUMBER})(?!\w)|[0-9]+|[\s.,-]+")
-_BRACKETED = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,3}(at|dot|point|punkt|punto|arroba)\s{0,3}[)\]}>]\s{0,3}")
-_WORDED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?: dot |\.)[A-Za-z0-9_%+-]{1,64}){0,8} at [A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,8} dot [A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_WORD_MARK = re.compile(r"(?i) (at|dot) ")
+_AT, _DOT = r"(?:at|arroba|@)", r"(?:dot|point|punkt|punto|\.)"
+_IN_BRACKETS = r"\s{0,3}[(\[{<]\s{0,3}%s\s{0,3}[)\]}>]\s{0,3}"
+_BARE = r"(?<=[A-Za-z0-9_%%+-])\s{1,3}%s\s{1,3}(?=[A-Za-z0-9])"
+_BRACKETED = re.compile("(?i)" + _IN_BRACKETS % f"({_AT[3:-1]}|{_DOT[3:-1]})")
+# Without brackets only "dot": "at the point of sale" is prose.
+_BARE_DOT = re.compile("(?i)" + _BARE % "dot")
+_BARE_AT = re.compile("(?i)" + _BARE % "(?:at|arroba)")
+_LABEL = "[A-Za-z0-9-]{1,63}"
+#: A host whose dots may be disguised, as far as it reaches.
+_HOST = re.compile(rf"(?i)(?!www\.){_LABEL}(?:(?:\.|\s{{1,3}}dot\s{{1,3}}|{_IN_BRACKETS % _DOT}){_LABEL}){{1,8}}(?<=[A-Za-z]{{2}})(?![A-Za-z0-9-])")
+_LEFT_WORD = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
+#: Words that stand before "at" and the name of a site in ordinary prose.
+_BEFORE_AT = frozenset(
+    "a about and are article available be been blog bought buy check code directly documentation done down else even ever found free here hosted in is it listed located "
+    "look looked looking looks me more now of off on online only or order out over page posted published read register see seen shop site sold started stay still stop "
+    "store that them there these this tickets today tools up us visit was website were work worked working works you".split()
+)
+
+#: Three or more digit words in a row, or fewer beside so many digits that it can be an identifier: else it is ordinary prose.
+_SPOKEN_LEAST, _SPOKEN_DIGITS = 3, 9
+_SPOKEN_GAP = rf"(?:{_IN_BRACKETS % _DOT}|[\s.,-]{{1,3}})"
+_SPOKEN_DOT = "dot|point|punkt|punto"
+_SPOKEN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{_NUMBER}|{_SPOKEN_DOT}|[0-9]+){_SPOKEN_GAP}){{2,}}(?:{_NUMBER}|[0-9]+)(?!\w)")
+_SPOKEN_PART = re.compile(rf"(?i)(?P<word>plus|{_NUMBER})(?!\w)|(?P<digits>[0-9]+)|(?P<dot>(?:{_SPOKEN_DOT})(?!\w)|{_IN_BRACKETS % _DOT})|(?P<gap>[\s.,-]{{1,3}})")
 
 Piece = tuple[int, int, str]
 
 
+def _spoken(run: re.Match) -> Iterator[Piece]:
+    """The digits of a run of digit words and digits, without what lies between; as an address if there are three dots."""
+    parts = list(_SPOKEN_PART.finditer(run.group()))
+    words = sum(1 for p in parts if p["word"] and p["word"].lower() != "plus")
+    spelled = sum(1 for p in parts if p["word"])
+    digits = words + sum(len(p["digits"]) for p in parts if p["digits"])
+    dots = sum(1 for p in parts if p["dot"] or (p["gap"] and "." in p["gap"]))
+    if not (spelled >= _SPOKEN_LEAST or (spelled and (digits >= _SPOKEN_DIGITS or dots == 3))):
+        return
+    for p in parts:
+        a, b = run.start() + p.start(), run.start() + p.end()
+        if word := (p["word"] or "").lower():
+            yield a, b, "+" if word == "plus" else str(SPELLED[word])
+        elif p["dot"] or (p["gap"] and "." in p["gap"] and dots == 3):
+            yield a, b, "."
+        elif p["gap"]:
+            yield a, b, ""
+
+
+def _ats(plain: str, others: set[int]) -> Iterator[Piece]:
+    """Each bare "at" before a host. What is before a host's own "at" or @ is no host, so the last one goes first."""
+    taken = set(others)
+    for m in reversed(list(_BARE_AT.finditer(plain))):
+        host = _HOST.match(plain, m.end())
+        if not host or host.end() in taken or plain.startswith("@", host.end()):
+            continue
+        left = _LEFT_WORD.search(plain, max(0, m.start() - 64), m.start())
+        if left and left.group().lower() in _BEFORE_AT and not re.search(r"[\s(\[{<]", host.group()):
+            continue
+        taken.add(m.start())
+        yield m.start(), m.end(), "@"
+
+
 def _rewrites(text: str) -> list[Piece]:
-    """(start, end, replacement) of each disguise, in order and without overlaps."""
-    out: list[Piece] = []
+    """(start, end, replacement) of each disguise, in order and without overlaps.
+
+    Characters are folded and invisible ones left out first; "at", "dot" and digit words are looked for in the result, each
+    by itself. What the detectors make of them together decides.
+    """
+    folds: list[Piece] = []
     if not text.isascii():
-        out += [(m.start(), m.end(), ONE_TO_ONE.get(ord(m.group()), "")) for m in _FOLDED.finditer(text)]
-    plain = text.translate(ONE_TO_ONE) if out else text
+        folds = [(m.start(), m.end(), ONE_TO_ONE.get(ord(m.group()), "")) for m in _FOLDED.finditer(text)]
+    plain, source = text, None
+    if folds:
+        plain = text.translate(ONE_TO_ONE)
+        if any(not new for _, _, new in folds):
+            source = [k for k, c in enumerate(plain) if c not in _INVISIBLE]
+            plain = "".join([plain[k] for k in source])
     low = plain.lower()
+    out: list[Piece] = []
     if any(c in low for c in "([{<"):
-        out += [(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "arroba") else ".") for m in _BRACKETED.finditer(plain)]
-    if " dot " in low and " at " in low:
-        for m in _WORDED.finditer(plain):
-            out += [(m.start() + x.start(), m.start() + x.end(), "@" if x.group(1).lower() == "at" else ".") for x in _WORD_MARK.finditer(m.group())]
+        out += [(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "arroba", "@") else ".") for m in _BRACKETED.finditer(plain)]
+    if "dot" in low:
+        out += [(m.start(), m.end(), ".") for m in _BARE_DOT.finditer(plain)]
+    out += _ats(plain, {a for a, _, new in out if new == "@"})
     for m in _SPOKEN.finditer(plain):
-        parts = list(_SPOKEN_WORD.finditer(m.group()))
-        if sum(1 for p in parts if p.group(1)) < 3:
-            continue
-        for p in parts:
-            word = (p.group(1) or "").lower()
-            if word:
-                out.append((m.start() + p.start(), m.start() + p.end(), "+" if word == "plus" else str(SPELLED[word])))
-            elif not p.group().isdigit():
-                out.append((m.start() + p.start(), m.start() + p.end(), ""))
-    out.sort()
+        out += _spoken(m)
+    if source is not None:
+        out = [(source[a], source[b - 1] + 1, new) for a, b, new in out]
     kept: list[Piece] = []
-    for piece in out:
+    for piece in sorted(out, key=lambda x: (x[0], -x[1])):
         if not kept or piece[0] >= kept[-1][1]:
             kept.append(piece)
-    return kept
+    # A folded character inside one of these is part of it.
+    ends = [b for _, b, _ in kept]
+    free = [f for f in folds if (k := bisect_right(ends, f[0])) == len(kept) or f[1] <= kept[k][0]]
+    return sorted([*kept, *free])
 
 
 def transduce(text: str, rewrites: list[Piece]) -> tuple[str, array, array]:

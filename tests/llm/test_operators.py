@@ -403,6 +403,38 @@ def test_disguises_map_back(kind, hidden):
     assert hidden not in pii.redacted(text, every)
 
 
+@pytest.mark.parametrize(
+    ("kind", "hidden"),
+    [
+        ("email", "john (at) example dot com"),
+        ("email", "john@example dot com"),
+        ("email", "john at example.com"),
+        ("email", "john dot doe [at] exаmple (dot) co dot uk"),
+        ("email", "jоhn\u00a0аt example d\u200bot com"),
+        ("ip", "192 dot 168 dot 0 dot 1"),
+        ("ip", "one nine two dot one six eight dot zero dot one"),
+        ("ip", "192[.]168[.]0[.]1"),
+        ("ip", "192 [dot] one six eight (.) zero dot 1"),
+        ("ip", "192.168.zero.one"),
+        ("card", "4111 1111 1111 one one 11"),
+        ("card", "4111 оne 11 one 111 \u200bо\u200bne 1111"),
+        ("phone", "plus 49 30 оne two 3456 seven"),
+    ],
+)
+def test_mixed_disguises_map_back(kind, hidden):
+    text = f"é write me at {hidden}, or not"
+    base, every = pii.find(text)
+    assert hidden in {text[a:b].strip("\u200b") for a, b in set(every[kind]) - set(base[kind])}
+    assert hidden not in pii.redacted(text, every)
+
+
+def test_sites_in_prose_are_no_addresses():
+    prose = "It is available at example.com, or look at www.example.org. We met at noon at the point of sale. In 2019 one in 1234 (at 5.30) had 3.2.1"
+    assert pii.find(prose) == ({k: [] for k in pii.KINDS},) * 2
+    text = "reach me at john.doe (at) example.com or me at john.doe@example.com at noon"
+    assert [text[a:b] for a, b in pii.find(text)[1]["email"]] == ["john.doe (at) example.com", "john.doe@example.com"]
+
+
 def test_prose_has_no_disguises(spark, docs, empty):
     prose = "We met at noon. One two three. The dot at the end (at last) costs 12.50, chapter 3.2.1; seven eight nine! null null null"
     assert pii.find(prose) == ({k: [] for k in pii.KINDS},) * 2
