@@ -1,7 +1,7 @@
 """Conversations from messages that quote each other.
 
-Each message is parsed into its own text and quoted passages by nesting level. Quoted passages, their lines, and own paragraphs
-and lines are reduced to hashes of their normalised words; the first message that wrote a passage, or else a line, is its
+Each message is parsed into its own text and quoted passages by nesting level. Quoted passages, their lines, and own paragraphs,
+lines and sentences are reduced to hashes of their normalised words; the first message that wrote a passage, or else a line, is its
 original. A message replies to the original of what it quotes at the first level, else to the turn before it. Threads and
 depths follow from these links by pointer doubling.
 """
@@ -16,12 +16,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from basketflow.llm.common import written
 
 _MARK = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 _SAID = re.compile(r"(?i)^\s*(on .{1,200} wrote|le .{1,200} a écrit|am .{1,200} schrieb.{0,100}|el .{1,200} escribió)\s*:\s*$")
 _WORDS = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"(?<=[.!?…])\s+")
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -61,10 +63,11 @@ def passage_hash(text: str) -> int | None:
 
 
 def _own_hashes(text: str) -> list[int]:
-    """Hashes of a message's lines and of its paragraphs."""
+    """Hashes of a message's lines, of its paragraphs and of their sentences."""
     lines = text.split("\n")
-    paragraphs = (" ".join(part) for filled, part in groupby(lines, lambda x: bool(x.strip())) if filled)
-    return sorted({h for x in chain(lines, paragraphs) if (h := passage_hash(x)) is not None})
+    paragraphs = [" ".join(part) for filled, part in groupby(lines, lambda x: bool(x.strip())) if filled]
+    sentences = (x for p in paragraphs for x in _SENTENCE_END.split(p))
+    return sorted({h for x in chain(lines, paragraphs, sentences) if (h := passage_hash(x)) is not None})
 
 
 def _quoted_hashes(passages: list[tuple[int, list[str]]]) -> list[dict]:
@@ -107,19 +110,23 @@ def _originals(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, size, of_conv, of_turn) of each quoted line whose original is known.
 
     A line's original is that of the passage it stands in, or of the line itself if the passage has none: the first turn of
-    the same conversation that wrote it, else the first message of all. Both are minima taken before the shuffle, so a line
-    that very many messages have gives one candidate and no pairs.
+    the same conversation that wrote it, else the first message of another conversation. For that the first messages of the two
+    lowest conversations are kept, one of which is another. All are cut down before the shuffle, so a line that very many
+    messages have gives few candidates and no pairs.
     """
     lines = messages.select(F.explode("own").alias("hash"), F.struct("conv_id", "turn").alias("at"))
     asked = messages.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.line", "q.own", "q.hash", "q.size")
     lines = lines.join(asked.select("hash").distinct(), "hash", "left_semi")
     here = lines.groupBy(F.col("at.conv_id").alias("conv_id"), "hash").agg(F.min("at").alias("here"))
-    first = lines.groupBy("hash").agg(F.min("at").alias("anywhere"))
+    nth = F.row_number().over(W.partitionBy("hash").orderBy("here"))
+    two = here.withColumn("nth", nth).where("nth <= 2")
+    first = two.groupBy("hash").agg(F.min("here").alias("anywhere"), F.max("here").alias("elsewhere"))
     found = asked.join(here, ["conv_id", "hash"], "left").join(first, "hash", "left")
     # A message never quotes itself or what comes after it in its conversation.
     before = F.col("here.turn") < F.col("turn")
-    other = F.col("anywhere.conv_id") != F.col("conv_id")
-    origin = F.when(before, F.col("here")).when(other, F.col("anywhere"))
+    origin = F.when(before, F.col("here"))
+    for name in ("anywhere", "elsewhere"):
+        origin = origin.when(F.col(f"{name}.conv_id") != F.col("conv_id"), F.col(name))
     of_passage = F.col("hash") != F.col("own")
     best = (
         found.withColumn("of", origin)

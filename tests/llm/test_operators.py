@@ -561,6 +561,24 @@ def test_passages_decide_before_lines(spark):
     assert [(got[c, 2].n_quotes, got[c, 2].n_linked, got[c, 2].text) for c in (1, 2, 3)] == [(2, 2, "Thanks"), (2, 2, "Did it?"), (1, 1, "")]
 
 
+def test_quotes_of_sentences_and_of_other_conversations(spark):
+    rows = [
+        (1, 0, "user", "The key is gone. I looked under the old\nmat. Who has it?"),
+        (1, 1, "assistant", "Nobody."),
+        (1, 2, "user", "> I looked under the old mat.\nLook again"),
+        (1, 3, "user", "> I looked under\n> the old mat.\nOnce more"),
+        (2, 0, "user", "> A passage of both\nA passage of both"),
+        (2, 1, "assistant", "> Later on\nand"),
+        (2, 2, "assistant", "Later on"),
+        (3, 5, "user", "A passage of both\n\nLater on"),
+        (4, 0, "user", "A passage of both"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotation.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    to = {k: (r.reply_conv, r.reply_turn) for k, r in got.items()}
+    assert to[1, 2] == to[1, 3] == (1, 0) and got[1, 3].n_linked == 2
+    assert to[2, 0] == to[2, 1] == (3, 5)
+
+
 def test_threads_of_the_table(spark):
     rows = table(spark, SF, "conversations")
     got = quotation.link(rows.withColumn("depth", F.lit("clash")).withColumn("own", F.lit(1))).collect()
