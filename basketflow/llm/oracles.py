@@ -41,3 +41,43 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM summed"""
+
+PREFIX_TRIE = r"""
+WITH numbered AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM numbered GROUP BY conv_id),
+crc_table AS (
+  SELECT list(list_reduce([CAST(i AS BIGINT)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) g(i)),
+plan AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM sizes, crc_table),
+rebuilt AS (
+  SELECT p.conv_id, b.pos, b.r, b.t FROM plan p JOIN numbered b ON b.conv_id = p.base AND b.pos <= p.h
+  UNION ALL
+  SELECT p.conv_id, o.pos - p.h + least(p.h, coalesce(s.n, 0)), o.r, o.t
+  FROM plan p JOIN numbered o ON o.conv_id = p.conv_id AND o.pos > p.h LEFT JOIN sizes s ON s.conv_id = p.base),
+paths AS (
+  SELECT conv_id, pos AS depth, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words,
+         string_agg(md5(length(r) || ':' || r || ':' || t), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM sizes),
+nodes AS (
+  SELECT depth, path, any_value(words) AS words, count(*) AS n_convs, min(conv_id) AS conv_id FROM paths GROUP BY depth, path),
+children AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, max_by(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path),
+full_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.path = n.path),
+subtrees AS (
+  SELECT left(path, 32 * d) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes) GROUP BY 1)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+       coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM full_nodes a JOIN subtrees s ON s.path = a.path LEFT JOIN ends e ON e.path = a.path
+LEFT JOIN nodes p ON p.depth = a.depth - 1 AND p.path = left(a.path, 32 * (a.depth - 1))"""

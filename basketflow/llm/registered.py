@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketflow.llm import decontaminate, filter_audit, license_scan, ngram_join, packing, pii, quality_rules, quotation, suffix_dedup, toxicity, warc
+from basketflow.llm import decontaminate, filter_audit, license_scan, ngram_join, packing, pii, prefix_trie, quality_rules, quotation, suffix_dedup, toxicity, warc
 from basketflow.llm.common import scratch, table
-from basketflow.llm.oracles import FILTER_AUDIT
+from basketflow.llm.oracles import FILTER_AUDIT, PREFIX_TRIE
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,10 @@ def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link(table(spark, sf_dir, "conversations"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.scan(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,8 +81,9 @@ QUERIES = {
         op8_pii_deobfuscation,
         op9_suffix_decontamination,
         op10_quotation_threads,
+        op11_prefix_trie,
         op13_filter_audit,
     )
 }
 
-ORACLES: dict[str, str] = {"op13_filter_audit": FILTER_AUDIT}
+ORACLES: dict[str, str] = {"op11_prefix_trie": PREFIX_TRIE, "op13_filter_audit": FILTER_AUDIT}
