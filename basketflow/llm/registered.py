@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketflow.llm import decontaminate, filter_audit, license_scan, ngram_join, packing, pii, prefix_trie, quality_rules, quotation, suffix_dedup, toxicity, warc
+from basketflow.llm import cross_polytope, decontaminate, filter_audit, license_scan, ngram_join, packing, pii, prefix_trie, quality_rules, quotation, suffix_dedup, toxicity, warc
 from basketflow.llm.common import scratch, table
 from basketflow.llm.oracles import FILTER_AUDIT, PREFIX_TRIE
 
@@ -64,6 +64,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.scan(table(spark, sf_dir, "conversations"))
 
 
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.scan(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +86,7 @@ QUERIES = {
         op9_suffix_decontamination,
         op10_quotation_threads,
         op11_prefix_trie,
+        op12_cross_polytope,
         op13_filter_audit,
     )
 }
