@@ -7,8 +7,8 @@ products in double precision on the original vectors.
 
 Bounds and sizes. The number of polytopes follows from the number of rows, so that a code holds few rows at any size. The number
 of probes is fitted: at most `SAMPLE` queries, those with the smallest hash of their id, are searched exactly, and the least number
-that finds `TARGET` of their neighbours is taken. All rows are indexed. Codes are dealt to tasks in cells of about `CELL_ROWS`
-rows; a cell that has more is split, and its queries go to each part. The rows of a part are held, its queries stream past.
+that finds `TARGET` of their neighbours is taken. All rows are indexed. Codes are dealt to tasks in cells of about `CELL_BYTES`;
+a cell that has more is split, and its queries go to each part. The rows of a part are held, its queries stream past.
 
 Equal vectors are indexed once, with their smallest ids: more than one more than the asked neighbours can't be in any answer. So
 copies that are a third of all rows cost as much as one. Vectors that are near, but not equal, meet in one cell's parts.
@@ -36,8 +36,8 @@ from basketflow.llm.common import written
 TABLES = 8
 #: Rows that a code holds on average at most.
 CODE_ROWS = 64
-#: Rows of a cell, and of a part of a larger cell twice as many.
-CELL_ROWS = 8192
+#: Bytes of coordinates, in double precision, of a cell's rows, and of a part of a larger cell twice as many: a task holds one part.
+CELL_BYTES = 16 << 20
 #: Queries whose exact neighbours fit the number of probes, and the share of these that it finds.
 SAMPLE = 128
 TARGET = 0.95
@@ -45,6 +45,8 @@ TARGET = 0.95
 MOST_PROBES = 1 << 14
 
 _QUERIES_AT_ONCE = 128
+#: Products of queries and rows that are held at a time.
+_PAIRS_AT_ONCE = 1 << 21
 _SEED = 20240
 
 
@@ -172,6 +174,10 @@ def candidates(q: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None
     return i, j, products(q[i], x[j])
 
 
+def cell_rows(dims: int) -> int:
+    return max(1, CELL_BYTES // (8 * dims))
+
+
 def usable(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
     """(vec_id, vec) of the rows that take part, whatever their length."""
     vec = F.col(column)
@@ -191,7 +197,7 @@ def hashing_of(rows: DataFrame, tables: int = TABLES) -> Hashing | None:
     polytopes = 1
     while one.axis_bits * polytopes < 62 - one.axis_bits and (CODE_ROWS << one.axis_bits * polytopes) < most["n"]:
         polytopes += 1
-    bits = min(one.axis_bits * polytopes, max(0, (int(most["n"]) // CELL_ROWS).bit_length()))
+    bits = min(one.axis_bits * polytopes, (int(most["n"]) // cell_rows(most["dims"])).bit_length())
     return replace(one, polytopes=polytopes, cell_bits=bits)
 
 
@@ -298,8 +304,9 @@ def _reranked(dealt: DataFrame, how: Hashing, k: int) -> DataFrame:
                     ids, x, codes = (np.concatenate(c) for c in zip(*held))
                     built = ids, x, *np.unique(codes, return_inverse=True)
                 ids, x, known, slot = built
-                for s in range(0, piece.num_rows, _QUERIES_AT_ONCE):
-                    some = piece.slice(s, _QUERIES_AT_ONCE)
+                at_once = max(1, min(_QUERIES_AT_ONCE, _PAIRS_AT_ONCE // len(ids)))
+                for s in range(0, piece.num_rows, at_once):
+                    some = piece.slice(s, at_once)
                     lists = some.column("codes")
                     code = lists.flatten().to_numpy()
                     row = np.repeat(np.arange(some.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -319,8 +326,11 @@ def _reranked(dealt: DataFrame, how: Hashing, k: int) -> DataFrame:
     return sorted_.mapInArrow(run, "qid long, rep long, score double")
 
 
-def search(embeddings: DataFrame, asked: Column, k: int = 20, column: str = "embedding", tables: int = TABLES, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest rows of each row that `asked` (a condition on vec_id) selects."""
+def search(embeddings: DataFrame, asked: Column, k: int = 20, column: str = "embedding", tables: int = TABLES, most_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest rows of each row that `asked` (a condition on vec_id) selects.
+
+    Cells of more than `most_rows` rows are split (two cells' bytes, if not given).
+    """
     rows = usable(embeddings, column)
     how = hashing_of(rows, tables)
     if how is None:
@@ -333,7 +343,7 @@ def search(embeddings: DataFrame, asked: Column, k: int = 20, column: str = "emb
     how = fit(index, distinct_queries, how, k)
 
     points = index.select(F.posexplode("codes").alias("tab", "code"), F.col("rep").alias("id"), "vec").withColumn("cell", _cell(how, F.col("code")))
-    full = points.groupBy("tab", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell_rows)).alias("parts")).where("parts > 1")
+    full = points.groupBy("tab", "cell").agg(F.ceil(F.count(F.lit(1)) / (most_rows or 2 * cell_rows(how.dims))).alias("parts")).where("parts > 1")
     spread = points.join(full, ["tab", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
     probes = _looked_up(distinct_queries, how).join(full, ["tab", "cell"], "left")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))

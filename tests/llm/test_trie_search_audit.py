@@ -156,7 +156,7 @@ def test_cells_are_split_and_nothing_is_lost(spark, random_vectors):
     """With small cells every one has parts; the result is that of whole cells."""
     df = spark.createDataFrame(random_vectors, "vec_id long, embedding array<float>").repartition(4)
     asked = F.col("vec_id") % 20 == 0
-    assert found(cross_polytope.search(df, asked, cell_rows=20)) == found(cross_polytope.search(df, asked))
+    assert found(cross_polytope.search(df, asked, most_rows=40)) == found(cross_polytope.search(df, asked))
 
 
 def test_copies_ties_and_rows_that_take_no_part(spark):
