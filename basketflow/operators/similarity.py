@@ -47,31 +47,14 @@ def _lot_band(lot: Column, tolerance: Column) -> Column:
     )
 
 
-def neighbour_counts(
-    masked: DataFrame,
-    tolerance: float | str,
-    seconds_gap: int | str,
-    calendar: Calendar,
-    keys: tuple[str, ...] = ("run_date",),
-) -> DataFrame:
-    """For every row and snapshot: number of distinct stocks with a row of the
-    same side and snapshot, time in [block start, block start + gap] and lots
-    in [n(1-tol), n(1+tol)], ends closed, the row itself included.
-
-    `tolerance` and `seconds_gap` are constants, or names of columns in `keys`.
-
-    Every row probes one (time bin, lot band) cell; as a candidate it is copied
-    to the cells that may need it, where the candidates of a stock are one row
-    with an array. The join so makes rows x stocks of a cell at most, and folds
-    each array into the bit mask; its partitioning serves the count after it.
+def _similar_pairs(masked: DataFrame, tol: Column, gap: Column, keys: tuple[str, ...]) -> DataFrame:
+    """Every row with the rows that are similar to it: `c_stock`, `c_ts`, `c_lot` and the snapshot bits that both share. A row
+    without any stays, with no bits.
 
-    A constant gap is at most half an hour: the snapshot bits reach no further.
-    A tolerance of 1 or more puts all lots of a time bin into one cell.
+    Every row probes one (time bin, lot band) cell; as a candidate it is copied to the cells that may need it. A cell holds a
+    stock at most once for each second of two bins and copy of the roll-up, so pairs grow with the rows, not with their square;
+    they stay in the partition where they arise, whose keys lead the result.
     """
-    if not isinstance(seconds_gap, str) and not 0 < seconds_gap <= MOST_GAP_SECONDS:
-        raise ValueError(f"seconds_gap must be positive and at most {MOST_GAP_SECONDS}")
-    tol = F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance))
-    gap = F.col(seconds_gap) if isinstance(seconds_gap, str) else F.lit(int(seconds_gap))
     gap_ns = gap.cast("bigint") * F.lit(NS)
     # The probe and the candidate side must scan the same exchange.
     base = masked.withColumns(
@@ -82,7 +65,6 @@ def neighbour_counts(
             "band": _lot_band(F.col("num_lot"), tol),
         }
     )
-    probe = base.withColumn("cell", int_div(F.col("block_start_ns"), F.col("gap_ns")))
     own_cell = int_div(F.col("ts_ns"), F.col("gap_ns"))
     candidate = (
         base.filter(F.col("num_lot").isNotNull())
@@ -101,54 +83,133 @@ def neighbour_counts(
             "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
         )
     )
-    cell_keys = [*keys, "side", "cell", "band"]
-    row_cols = [c for c in ROW if c != "side"]
-    # One exchange serves the arrays and the join.
-    held = (
-        candidate.repartition(*cell_keys)
-        .groupBy(*cell_keys, "c_stock")
-        .agg(F.collect_list(F.struct("c_ts", "c_lot", "c_mask", int_div(F.col("c_sec"), 60).alias("c_min"))).alias("held"))
+    # Candidates earlier than the block never match, so the shift is not
+    # negative where it matters.
+    later = F.greatest(int_div(F.col("c_sec"), 60) - int_div(F.col("sec"), 60), F.lit(0)).cast("int")
+    shared = F.col("mask").bitwiseAND(F.call_function("shiftleft", F.col("c_mask"), later))
+    cell_keys = cell_keys_of(keys)
+    p = base.withColumn("cell", int_div(F.col("block_start_ns"), F.col("gap_ns"))).alias("p")
+    on = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in cell_keys]
+    on += [
+        F.col("c_ts") >= F.col("block_start_ns"),
+        F.col("c_ts") <= F.col("block_start_ns") + F.col("gap_ns"),
+        F.col("c_lot") >= F.col("lot_lo"),
+        F.col("c_lot") <= F.col("lot_hi"),
+        shared != 0,
+    ]
+    return p.join(candidate.alias("c"), on, "left").select(
+        *[F.col(f"p.{k}") for k in cell_keys],
+        *[c for c in ROW if c != "side"],
+        "mask",
+        "c_stock",
+        "c_ts",
+        "c_lot",
+        F.coalesce(shared, F.lit(0)).alias("shared"),
     )
 
-    def matching(c: Column) -> Column:
-        return (
-            (c["c_ts"] >= F.col("block_start_ns"))
-            & (c["c_ts"] <= F.col("block_start_ns") + F.col("gap_ns"))
-            & (c["c_lot"] >= F.col("lot_lo"))
-            & (c["c_lot"] <= F.col("lot_hi"))
-        )
 
-    def with_mask(acc: Column, c: Column) -> Column:
-        # Candidates earlier than the block never match, so the shift is not
-        # negative where it matters.
-        later = F.greatest(c["c_min"] - int_div(F.col("sec"), 60), F.lit(0)).cast("int")
-        bits = F.call_function("shiftleft", c["c_mask"], later)
-        return F.when(matching(c), acc.bitwiseOR(bits)).otherwise(acc)
-
-    folded = F.aggregate("held", F.lit(0).cast(masked.schema["mask"].dataType), with_mask)
-    per_stock = probe.join(held, cell_keys, "left").select(
-        *cell_keys,
-        *row_cols,
-        "mask",
-        F.coalesce(F.col("mask").bitwiseAND(folded), F.lit(0)).alias("shared"),
-    )
+def cell_keys_of(keys: tuple[str, ...]) -> list[str]:
+    return [*keys, "side", "cell", "band"]
+
+
+def _checked_gap(seconds_gap: int) -> int:
+    if not 0 < seconds_gap <= MOST_GAP_SECONDS:
+        raise ValueError(f"seconds_gap must be positive and at most {MOST_GAP_SECONDS}")
+    return int(seconds_gap)
+
+
+def neighbour_counts(
+    masked: DataFrame,
+    tolerance: float,
+    seconds_gap: int,
+    calendar: Calendar,
+    keys: tuple[str, ...] = ("run_date",),
+) -> DataFrame:
+    """For every row and snapshot: number of distinct stocks with a row of the
+    same side and snapshot, time in [block start, block start + gap] and lots
+    in [n(1-tol), n(1+tol)], ends closed, the row itself included.
+
+    The gap is at most half an hour: the snapshot bits reach no further. A
+    tolerance of 1 or more puts all lots of a time bin into one cell.
+    """
+    pairs = _similar_pairs(masked, F.lit(float(tolerance)), F.lit(_checked_gap(seconds_gap)), keys)
+    row_cols = [*cell_keys_of(keys), *[c for c in ROW if c != "side"], "mask"]
+    per_stock = pairs.groupBy(*row_cols, "c_stock").agg(F.bit_or("shared").alias("shared"))
     slots = range(calendar.lookback_minutes + 1)
-    counted = per_stock.groupBy(*cell_keys, *row_cols, "mask").agg(
+    counted = per_stock.groupBy(*row_cols).agg(
         *[F.count_if(has_bit(F.col("shared"), F.lit(k))).alias(f"n{k}") for k in slots]
     )
-    per_slot = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n")) for k in slots])
+    return _per_snapshot(counted, [F.col(f"n{k}") for k in slots], *keys, *ROW)
+
+
+def _per_snapshot(rows: DataFrame, counts: list[Column], *keep: str) -> DataFrame:
+    """One row per snapshot of the mask, with the count of its slot."""
+    per_slot = F.array(*[F.struct(F.lit(k).alias("k"), n.alias("n")) for k, n in enumerate(counts)])
     return (
-        counted.withColumn("at", F.explode(per_slot))
+        rows.withColumn("at", F.explode(per_slot))
         .filter(has_bit(F.col("mask"), F.col("at.k")))
         .select(
-            *keys,
+            *keep,
             (int_div(F.col("sec"), 60) + F.col("at.k")).alias("trigger_min"),
-            *ROW,
-            F.col("at.n").alias("no_similarity_stock"),
+            F.col("at.n").cast("bigint").alias("no_similarity_stock"),
         )
     )
 
 
+def neighbour_stairs(
+    masked: DataFrame,
+    most_tolerance: float,
+    most_gap: int,
+    keys: tuple[str, ...] = ("run_date",),
+) -> DataFrame:
+    """Every row with `near`: for each stock with a similar row the steps
+    (after_ns, lot, shared) that can decide a count for any smaller tolerance
+    and gap.
+
+    A step is left out if one that is no later, no further off on the same side
+    of the row's lots and in all its snapshots stands there already. One join
+    so serves all parameter sets, whatever their number.
+    """
+    pairs = _similar_pairs(masked, F.lit(float(most_tolerance)), F.lit(_checked_gap(most_gap)), keys)
+    row_cols = [*cell_keys_of(keys), *[c for c in ROW if c != "side"], "mask"]
+    step = F.struct((F.col("c_ts") - F.col("block_start_ns")).alias("after_ns"), F.col("c_lot").alias("lot"), "shared")
+    per_stock = pairs.groupBy(*row_cols, "c_stock").agg(
+        F.sort_array(F.collect_list(F.when(F.col("shared") != 0, step))).alias("steps")
+    )
+    own = F.col("num_lot")
+
+    def with_step(stairs: Column, s: Column) -> Column:
+        def covers(a: Column) -> Column:
+            nearer = ((a["lot"] <= own) & (a["lot"] >= s["lot"])) | ((a["lot"] >= own) & (a["lot"] <= s["lot"]))
+            return nearer & (s["shared"].bitwiseAND(a["shared"]) == s["shared"])
+
+        return F.when(F.exists(stairs, covers), stairs).otherwise(F.array_append(stairs, s))
+
+    none = F.array().cast(per_stock.schema["steps"].dataType)
+    stairs = F.aggregate("steps", none, with_step)
+    near = per_stock.withColumn("stairs", stairs).groupBy(*row_cols).agg(F.collect_list("stairs").alias("near"))
+    return near.select(*keys, *ROW, "mask", "near")
+
+
+def counts_within(rows: DataFrame, tolerance: Column, seconds_gap: Column, calendar: Calendar, *keep: str) -> DataFrame:
+    """`neighbour_counts` of rows with `near`, for a tolerance and gap of each row's own: a lookup, without a shuffle."""
+    gap_ns = seconds_gap.cast("bigint") * F.lit(NS)
+    lo, hi = F.col("num_lot") * (F.lit(1.0) - tolerance), F.col("num_lot") * (F.lit(1.0) + tolerance)
+
+    def with_bits(acc: Column, s: Column) -> Column:
+        met = (s["after_ns"] <= gap_ns) & (s["lot"] >= lo) & (s["lot"] <= hi)
+        return F.when(met, acc.bitwiseOR(s["shared"])).otherwise(acc)
+
+    zero = F.lit(0).cast("bigint")
+    bits = rows.withColumn("bits", F.transform("near", lambda stairs: F.aggregate(stairs, zero, with_bits)))
+
+    def in_slot(k: int) -> Column:
+        return F.size(F.filter("bits", lambda b: has_bit(b, F.lit(k))))
+
+    counts = [in_slot(k) for k in range(calendar.lookback_minutes + 1)]
+    return _per_snapshot(bits, counts, *keep, *ROW)
+
+
 def similarity_blocks(counted: DataFrame, min_unique: int | str) -> DataFrame:
     """Rows with enough similar stocks."""
     threshold = F.col(min_unique) if isinstance(min_unique, str) else F.lit(min_unique)

@@ -669,6 +669,7 @@ def _trials(spark, sf_dir):
         fx.reported_for_run_dates(spark, sf_dir),
         params,
         ["2024-01-01", "2024-01-02", "2024-01-03"],
+        first_round=3,
     )
     return sw.trial_metrics(evaluated, params)
 
@@ -679,6 +680,34 @@ def param_sweep(spark, sf_dir):
     return _trials(spark, sf_dir).select("param_id", cents("mae"))
 
 
+# Ranges that give results on the test tables.
+SEARCH_RANGES = {**sw.DETECTION_RANGES, "min_unique": (2, 5, 1), "min_segment": (2, 4, 1), "core_threshold": (0, 4, 1)}
+
+
+@register
+def two_stage_search(spark, sf_dir):
+    """All trials of a guided search: detection parameters, then bucket parameters with the best detection. Each stage learns
+    its second batch from its first; a stage shows what it searches."""
+    m, path = fx.market(spark, sf_dir), shared_dir(spark, "search")
+    sw.two_stage(
+        m.trades,
+        m.quotes,
+        m.weights,
+        fx.reported_for_run_dates(spark, sf_dir),
+        ["2024-01-01", "2024-01-02", "2024-01-03"],
+        path,
+        stage1_trials=10,
+        stage2_trials=10,
+        startup=6,
+        batch=4,
+        detection_ranges=SEARCH_RANGES,
+        uniform=_hashed,
+    )
+    log = tb.stored_trials(spark, f"{path}/trials")
+    shown = [F.when(F.col("stage") == stage, F.col(c)).alias(c) for stage, of in (("stage1", sw.DETECTION_RANGES), ("stage2", sw.BUCKET_RANGES)) for c in of]
+    return log.select("stage", "param_id", *shown, "mae")
+
+
 @register
 def sweep_top10(spark, sf_dir):
     """The ten best parameter sets."""
