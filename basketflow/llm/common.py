@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one group of documents (a shard) holds on average.
 SHARD_BYTES = 6 << 20
 
+#: Bytes of text that become Python strings at a time.
+SLICE_BYTES = 2 << 20
+
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
 _MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -145,6 +149,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         lo = hi
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system. Workers are used again, and would keep the most that any task held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def new_copies(batch: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
     """The rows whose digest is not in `seen`, to which it goes."""
     new = [not (d in seen or seen.add(d)) for d in batch.column("digest").to_pylist()]

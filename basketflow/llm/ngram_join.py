@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import ASCII_LOWER, NOT_SPACE, batch_texts, digested, distinct_texts, first_copies, mixed, word_hashes, written
+from basketflow.llm.common import ASCII_LOWER, NOT_SPACE, batch_texts, digested, distinct_texts, first_copies, give_back, mixed, word_hashes, written
 from basketflow.llm.components import connected_components
 
 WORDS = 5
@@ -75,6 +75,7 @@ def _shared_shingles(texts: DataFrame, buckets: int, words: int) -> DataFrame:
     """(shard, shingles, counts) of the shingles that two or more distinct texts have; packed arrays, split by shingle."""
 
     def local(rows: pa.Table) -> pa.Table:
+        give_back()
         shard = rows.column("shard")[0].as_py()
         every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(*batch_texts(first_copies(rows).column("text")), words)])
         every.sort()
@@ -92,8 +93,9 @@ def _shared_shingles(texts: DataFrame, buckets: int, words: int) -> DataFrame:
         )
 
     def total(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")]
-        counts = [np.frombuffer(x.as_py(), np.uint8) for x in rows.column("counts")]
+        give_back()
+        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]
+        counts = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("counts")]
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         some, sums = _sum_by(every[order], np.concatenate(counts)[order].astype(np.int64))
@@ -114,9 +116,10 @@ def _prefixes(texts: DataFrame, shared: DataFrame, percent: int, words: int) ->
     """Per distinct text: its set's size; if another text has a shingle of its prefix also that prefix and the whole set."""
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()
         rows = first_copies(rows)
-        keys = np.frombuffer(b"".join(x.as_py() for x in known.column("keys")), np.uint64)
-        counts = np.frombuffer(b"".join(x.as_py() for x in known.column("counts")), np.uint16)
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in known.column("keys"))])
+        counts = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_buffer(), np.uint16) for x in known.column("counts"))])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         sizes, nodes, groups, own, prefixes, sets = [], [], [], [], [], []
@@ -166,6 +169,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import text_of
+from basketflow.llm.common import give_back, text_of
 
 #: Fixed value: the split rule that the published byte-level vocabulary is defined with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -203,6 +203,7 @@ def pack(
                     held = 0
         if ids:
             yield flush()
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     return source.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import text_of
+from basketflow.llm.common import SLICE_BYTES, give_back, slices, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -297,7 +297,7 @@ def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "text", SLICE_BYTES)):
             rows = [find(t) for t in batch.column("text").to_pylist()]
             out = {"doc_id": batch.column("doc_id")}
             out |= {f"n_{k}": pa.array([len(b[k]) for b, _ in rows], pa.int64()) for k in KINDS}
@@ -307,6 +307,7 @@ def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
             if with_text:
                 out["redacted"] = pa.array([redacted(t, s) for t, (_, s) in zip(batch.column("text").to_pylist(), rows, strict=True)], pa.string())
             yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return source.mapInArrow(run, SCHEMA + (", redacted string" if with_text else ""))
@@ -319,9 +320,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "text", SLICE_BYTES)):
             texts = [None if t is None else redacted(t, find(t)[1]) for t in batch.column("text").to_pylist()]
             yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, pa.string()))
+        give_back()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

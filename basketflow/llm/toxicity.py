@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import text_of, written
+from basketflow.llm.common import SLICE_BYTES, give_back, slices, text_of, written
 from basketflow.llm.pii import ONE_TO_ONE
 
 #: Labelled documents that the lexicon is learned from, at most: a sample by hash beyond that.
@@ -145,7 +145,7 @@ def _counted(rows: DataFrame, known: set[str] | None) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "folded", SLICE_BYTES)):
             toxic, clean = Counter(), Counter()
             for folded, label in zip(batch.column("folded").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 found = _entries(folded)
@@ -160,7 +160,7 @@ def _folded(rows: DataFrame) -> DataFrame:
     """(folded, toxic, key) of rows with text and toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "text", SLICE_BYTES)):
             folded = [fold(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"folded": pa.array(folded, pa.string()), "toxic": batch.column("toxic"), "key": pa.array([_near_copy_key(x) for x in folded], pa.int64())})
 
@@ -181,7 +181,7 @@ def _learned_exceptions(rows: DataFrame, weights: dict[str, float], least: int =
     sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "folded", SLICE_BYTES)):
             found = Counter()
             for folded, toxic in zip(batch.column("folded").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 found.update((x, toxic) for x in set(_pairs(folded, sent.value)))
@@ -226,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = sent.value.automaton()
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "folded", SLICE_BYTES)):
             found = [_measures(_weight(t, automaton), len(t.split())) for t in batch.column("folded").to_pylist()]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.float64()), "b": pa.array([x for _, x in found], pa.float64()), "toxic": batch.column("toxic")})
 
@@ -249,7 +249,7 @@ def scan(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = sent.value.automaton()
         bias, a, b = sent.value.logistic
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "text", SLICE_BYTES)):
             scores, weights = [], []
             for text in batch.column("text").to_pylist():
                 folded = fold(text or "")
@@ -259,6 +259,7 @@ def scan(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Dat
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + a * x + b * y)))))
             columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(weights, pa.float64())], [*names, "score", "toxic_weight"])
+        give_back()
 
     schema = rows.withColumns({"score": F.lit(0.0), "toxic_weight": F.lit(0.0)}).schema
     scored = rows.mapInArrow(run, schema)

@@ -60,5 +60,5 @@ def test_stages_with_clashing_columns_and_texts_that_share_an_id(spark):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert list(cp.PIPELINE_QUERIES) == ["pipeline"]
