@@ -26,12 +26,9 @@ from basketflow.llm.pii import ONE_TO_ONE
 
 #: Labelled documents that the lexicon is learned from, at most: a sample by hash beyond that.
 MOST_LABELLED = 30_000
-#: Entries considered, and kept.
-MOST_CANDIDATES = 50_000
-MOST_ENTRIES = 4_000
-#: An entry occurs in at least so many toxic documents, this share of them, and so many times as often as in clean ones.
+#: An entry occurs in at least so many toxic documents, whatever their number, and so many times as often as in clean ones,
+#: half a document added to each count.
 LEAST_DOCS = 5
-LEAST_SHARE = 0.004
 LEAST_RATIO = 20.0
 #: Lengths of the word beginnings considered.
 STEMS = (4, 5, 6, 7, 8)
@@ -190,8 +187,8 @@ def _learned_exceptions(rows: DataFrame, weights: dict[str, float], least: int =
             )
 
     counted = rows.mapInArrow(run, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = counted.where((F.col("toxic") == 0) & (F.col("clean") >= least)).orderBy(F.desc("clean"), "phrase").limit(1000)
-    return [r["phrase"] for r in kept.collect()]
+    kept = counted.where((F.col("toxic") == 0) & (F.col("clean") >= least)).orderBy(F.desc("clean"), "phrase")
+    return [r["phrase"] for r in kept.collect()]  # of at most `most_labelled` texts
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
@@ -212,15 +209,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon({}, phrases, (math.log((toxic + 0.5) / (clean + 0.5)) - 1.0, 1.0, 1.0))
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
-    first = _counted(rows.where("toxic = 1"), None).where(F.col("toxic") >= least)
-    candidates = {r["entry"] for r in first.orderBy(F.desc("toxic"), "entry").limit(MOST_CANDIDATES).collect()}
-    weights: dict[str, float] = {}
-    for r in _counted(rows, candidates).collect():
-        ratio = ((r["toxic"] + 0.5) / (toxic + 1)) / ((r["clean"] + 0.5) / (clean + 1))
-        if ratio >= LEAST_RATIO and r["toxic"] >= least:
-            weights[r["entry"]] = round(math.log(ratio), 6)
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
+    least = LEAST_DOCS
+    candidates = {r["entry"] for r in _counted(rows.where("toxic = 1"), None).where(F.col("toxic") >= least).select("entry").collect()}
+    smoothed = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
+    held = _counted(rows, candidates).where((F.col("toxic") >= least) & (smoothed >= LEAST_RATIO)).select("entry", smoothed.alias("ratio"))
+    weights = {r["entry"]: round(math.log(r["ratio"]), 6) for r in held.orderBy(F.desc("ratio"), "entry").collect()}
     lexicon = Lexicon(weights, (*phrases, *_learned_exceptions(rows, weights)), (0.0, 0.0, 0.0))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
