@@ -341,6 +341,8 @@ def fund_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("</td></tr>"),
         ),
     ]
+    # On some days a holding has a further cell with a table in it.
+    note = F.when(F.pmod(dom, F.lit(7)) == 0, "<td><table class='note'><tr><td>new</td></tr></table></td>").otherwise("")
     holdings = [
         cells(
             F.lit(code),
@@ -355,10 +357,11 @@ def fund_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         dom != 20, cells(F.lit("Total"), F.lit(""), F.lit(""), whole(F.col("nav")), F.lit("100.00%"))
     ).otherwise("")
     late = cells(F.lit("ZZZ VN"), F.lit("late"), F.lit("1"), F.lit("2"), F.lit("3%"))
+    noted = [F.concat(F.regexp_replace(h, "</tr>$", ""), note, F.lit("</tr>")) for h in holdings]
     basket = F.when(
         dom != 25,
         F.concat(
-            F.lit("<table class='table1'><tr><th>Code</th></tr>"), *holdings, total, late, F.lit("</table>")
+            F.lit("<table class='table1'><tr><th>Code</th></tr>"), *noted, total, late, F.lit("</table>")
         ),
     ).otherwise("")
     cash = F.concat(

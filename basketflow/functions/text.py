@@ -50,16 +50,49 @@ def no_commas(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(""))
 
 
-def elements(html: Column, tag: str) -> Column:
-    """All elements of a tag that does not nest, as HTML."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}\b.*?</{tag}>)"), F.lit(1))
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def elements(html: Column, tag: str, opening: str | None = None) -> Column:
+    """All elements of a tag, as HTML, in the order of their beginnings; those
+    inside others of the tag stand for themselves too.
+
+    An element ends where as many end tags as beginnings have come; one that is
+    never closed runs to the end. End tags without a beginning count for
+    nothing. `opening` is a pattern that the beginning must match.
+    """
+    starts, ends = rf"(?i)^<{tag}(?=[\s/>])", rf"(?i)^</{tag}\s*>"
+    parts = F.split(html, rf"(?i)(?=<{tag}[\s/>]|</{tag}\s*>)")
+
+    def deeper(depths: Column, part: Column) -> Column:
+        step = F.when(F.rlike(part, F.lit(starts)), 1).when(F.rlike(part, F.lit(ends)), -1).otherwise(0)
+        now = F.coalesce(F.get(depths, F.size(depths) - 1), F.lit(0)) + step
+        return F.array_append(depths, F.greatest(now, F.lit(0)))
+
+    def all_of(ps: Column, ds: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            # The first place after the beginning that is less deep is its end.
+            count = F.array_position(F.slice(ds, i + 2, F.size(ds)), (F.get(ds, i) - 1).cast("int")).cast("int")
+            closed = F.concat(
+                F.concat_ws("", F.slice(ps, i + 1, count)),
+                F.regexp_extract(F.get(ps, i + count), rf"(?i)^(</{tag}\s*>)", 1),
+            )
+            whole = F.when(count > 0, closed).otherwise(F.concat_ws("", F.slice(ps, i + 1, F.size(ps))))
+            return F.when(F.rlike(p, F.lit(opening or starts)), whole)
+
+        return F.filter(F.transform(ps, one), lambda e: e.isNotNull())
+
+    none = F.array().cast("array<int>")
+    return _let(parts, lambda ps: _let(F.aggregate(ps, none, deeper), lambda ds: all_of(ps, ds)))
 
 
 def elements_of_class(html: Column, tag: str, css_class: str) -> Column:
-    """Elements of a tag and class, also inside others of the tag without the
-    class; one of the class itself ends at the tag's next end."""
-    opening = rf"<{tag}\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'][^>]*>"
-    return F.regexp_extract_all(html, F.lit(rf"(?is)({opening}.*?</{tag}>)"), F.lit(1))
+    """Elements of a tag and class, also inside others of the tag; what stands in
+    comments, scripts and styles is none."""
+    opening = rf"(?is)^<{tag}\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'][^>]*>"
+    return elements(F.regexp_replace(html, _HIDDEN, " "), tag, opening)
 
 
 def contains_all(text: Column, parts: tuple[str, ...]) -> Column:

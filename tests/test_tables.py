@@ -222,6 +222,37 @@ def test_nested_table_and_entities(spark):
     assert row.x == "V\u00e9 N\u2019x A&B"
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<td>a</td><td>b</td>", ["<td>a</td>", "<td>b</td>"]),
+        ("x<TD a='1'>a<td >b</td >c</TD>y", ["<TD a='1'>a<td >b</td >c</TD>", "<td >b</td >"]),
+        ("</td><td>a</td></td><td>b", ["<td>a</td>", "<td>b"]),
+        ("<td>a<td>b</td>", ["<td>a<td>b</td>", "<td>b</td>"]),
+        ("<tdx>a</tdx><td/>", ["<td/>"]),
+        ("", []),
+        ("plain", []),
+        (None, None),
+    ],
+)
+def test_elements_are_balanced(spark, html, want):
+    from basketflow.functions.text import elements
+
+    assert spark.createDataFrame([(html,)], "h string").select(elements(F.col("h"), "td")).first()[0] == want
+
+
+def test_holdings_with_inner_tables(spark):
+    """Inner tables in a cell neither end the table nor the row; inside comments tags are none."""
+    from basketflow.sources.pages import holdings_rows
+
+    inner = "<table><tr><td>1</td><td>2</td></tr></table>"
+    rows = "".join(f"<tr><td>{c} VN</td><td>n{c}</td><td>1,000</td><td>5</td><td>9%</td><td>{inner}</td></tr>" for c in ("VIC", "VHM"))
+    html = f"<!-- <table class='table1'> --><table class='a table1'><tr><th>Code</th></tr>{rows}<tr><td>Total</td><td></td><td></td><td>7</td><td>100%</td></tr></table>"
+    df = spark.createDataFrame([(date(2024, 1, 2), html)], "requested_date date, html string")
+    got = holdings_rows(df).select("stock_code", "stock_name", "shares", "weight_pct", "total_market_value").collect()
+    assert sorted(map(tuple, got)) == [("VHM VN", "nVHM", "1000", "9", "7"), ("VIC VN", "nVIC", "1000", "9", "7")]
+
+
 def test_folder_table_as_stream(spark, tmp_path):
     from basketflow.streaming.live import table_stream
 
