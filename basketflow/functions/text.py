@@ -85,7 +85,16 @@ def elements(html: Column, tag: str, opening: str | None = None) -> Column:
         return F.filter(F.transform(ps, one), lambda e: e.isNotNull())
 
     none = F.array().cast("array<int>")
-    return _let(parts, lambda ps: _let(F.aggregate(ps, none, deeper), lambda ds: all_of(ps, ds)))
+    nested = _let(parts, lambda ps: _let(F.aggregate(ps, none, deeper), lambda ds: all_of(ps, ds)))
+    # Where every beginning has an end before the next one, nothing nests, and one pattern finds the same.
+    flat = F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}[\s/>].*?</{tag}\s*>)"), F.lit(1))
+    count = F.regexp_count(html, F.lit(rf"(?i)<{tag}[\s/>]"))
+
+    def chosen(found: Column) -> Column:
+        asked = F.filter(found, lambda e: F.rlike(e, F.lit(opening))) if opening else found
+        return F.when(F.size(found) == count, asked).otherwise(nested)
+
+    return _let(flat, chosen)
 
 
 def elements_of_class(html: Column, tag: str, css_class: str) -> Column:
