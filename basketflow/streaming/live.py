@@ -12,7 +12,6 @@ from basketflow.functions.scalars import int_div
 from basketflow.params import MINUTE_NS, NS, DetectionParams
 from basketflow.plans.detect import detect_flow
 
-HOUR_NS = 60 * MINUTE_NS
 KEY = ["run_date", "time_str", "stock", "initial_ts_ns", "ts_ns"]
 # Batch number of what `flush` writes; later than any batch of a stream.
 FLUSH = 2**31 - 1
@@ -74,13 +73,19 @@ class LiveDetector:
 
     A minute T closes when the newest tick is at least `shift_seconds` younger.
     Each micro-batch stores its ticks, runs the minutes that closed and stores
-    what no earlier minute has found. Everything is written below `root` in a
-    folder named after the batch and replaced when the batch is repeated, so a
-    restarted stream neither loses nor repeats a detection.
+    what no earlier minute has found. Everything is written below `root` under
+    the batch's number and replaced when the batch is repeated, so a restarted
+    stream neither loses nor repeats a detection.
+
+    What a batch reads stays small however long the stream runs: ticks and the
+    keys of recent detections lie in slots as long as the look-back, progress
+    is one row a batch, and once a batch is done all that neither it nor a
+    later one can need is removed. Detections are only added to.
     """
 
     def __init__(self, root: str, weights: DataFrame, params: DetectionParams):
         self.root, self.weights, self.params = root, weights, params
+        self.slot_ns = params.calendar.lookback_minutes * MINUTE_NS
 
     # -- tables below root
 
@@ -98,62 +103,89 @@ class LiveDetector:
     def _write(self, df: DataFrame, name: str, batch: int, *by: str) -> None:
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}/batch={batch}")
 
-    def _progress(self, spark: SparkSession, batch: int) -> tuple[int | None, int | None]:
-        """Newest tick and last closed minute of the batches so far."""
+    def _write_slots(self, df: DataFrame, name: str, batch: int, time: str) -> None:
+        """Rows by slot of their time and batch; a repeated batch replaces its own."""
+        slotted = df.withColumns({"slot": int_div(F.col(time), self.slot_ns), "batch": F.lit(batch)})
+        slotted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(f"{self.root}/{name}")
+
+    def _folder(self, spark: SparkSession, name: str):
+        """Hadoop's path of a folder below root, and its file system."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _remove(self, spark: SparkSession, name: str) -> None:
+        path, fs = self._folder(spark, name)
+        fs.delete(path, True)
+
+    def _expire(self, spark: SparkSession, name: str, key: str, before: int) -> None:
+        """Remove the partitions `key=n` of a table with n below the given one."""
+        path, fs = self._folder(spark, name)
+        if not fs.exists(path):
+            return
+        for status in fs.listStatus(path):
+            label, _, number = status.getPath().getName().partition("=")
+            if label == key and number.lstrip("-").isdigit() and int(number) < before:
+                fs.delete(status.getPath(), True)
+
+    def _progress(self, spark: SparkSession, batch: int) -> tuple[int | None, int | None, int]:
+        """Newest tick, last closed minute and number of the last batch so far."""
         seen = self._read("progress", spark, batch)
-        row = seen.agg(F.max("newest_ns"), F.max("closed")).first() if seen is not None else None
-        return (row[0], row[1]) if row else (None, None)
+        row = seen.agg(F.max("newest_ns"), F.max("closed"), F.max("batch")).first() if seen is not None else None
+        return (row[0], row[1], row[2]) if row and row[2] is not None else (None, None, -1)
 
     # -- processing
 
     def _forget_flush(self, spark: SparkSession) -> None:
-        """Empty what a flush wrote: the stream goes on and closes those minutes again."""
-        for name in ("progress", "detections"):
-            stored = self._read(name, spark, 2**31)
-            if stored is not None and stored.filter(F.col("batch") == FLUSH).limit(1).count():
-                kept = stored.filter(F.col("batch") == FLUSH).drop("batch").limit(0)
-                empty = spark.createDataFrame([], kept.schema)
-                self._write(empty, name, FLUSH, *(["run_date"] if name == "detections" else []))
+        """Remove what a flush wrote: the stream goes on and closes those minutes again."""
+        path, fs = self._folder(spark, "flushed")
+        if fs.exists(path):
+            self._remove(spark, f"detections/batch={FLUSH}")
+            fs.delete(path, True)
 
     def process(self, ticks: DataFrame, batch: int) -> None:
         spark = ticks.sparkSession
         self._forget_flush(spark)
-        hour = int_div(F.col("ts_ns"), HOUR_NS).alias("hour")
-        self._write(ticks.select(*TICK_COLUMNS, hour), "ticks", batch, "hour")
-        ends = (
-            spark.read.parquet(f"{self.root}/ticks/batch={batch}")
-            .agg(F.min("ts_ns"), F.max("ts_ns"))
-            .first()
-        )
+        self._write_slots(ticks.select(*TICK_COLUMNS), "ticks", batch, "ts_ns")
+        stored = self._read("ticks", spark, batch + 1)
+        ends = (None,) if stored is None else stored.filter(F.col("batch") == batch).agg(F.min("ts_ns"), F.max("ts_ns")).first()
         if ends[0] is None:
             return
-        newest, closed = self._progress(spark, batch)
+        newest, closed, last = self._progress(spark, batch)
         newest = max(newest or 0, ends[1])
         start = closed if closed is not None else ends[0] // MINUTE_NS - 1
         upto = max(start, (newest - self.params.shift_seconds * NS) // MINUTE_NS)
-        self._close(spark, batch, start, upto, newest)
+        if upto > start:
+            found = self._detect(spark, batch, start, upto)
+            self._write(found, "detections", batch, "run_date")
+            written = spark.read.schema(found.schema).parquet(f"{self.root}/detections/batch={batch}")
+            self._write_slots(written.select(*KEY), "recent", batch, "initial_ts_ns")
+        state = spark.createDataFrame([(newest, upto)], "newest_ns bigint, closed bigint").coalesce(1)
+        self._write(state, "progress", batch)
+        # A repeated batch starts where this one did, so its own look-back stays.
+        for name in ("ticks", "recent"):
+            self._expire(spark, name, "slot", self._low(start) // self.slot_ns)
+        self._expire(spark, "progress", "batch", last)
 
-    def flush(self, spark: SparkSession, batch: int = FLUSH) -> None:
+    def flush(self, spark: SparkSession) -> None:
         """Close the minutes that are still open once the stream has ended. If it
-        goes on after all, the next batch empties what this wrote."""
-        newest, closed = self._progress(spark, batch)
+        goes on after all, the next batch removes what this wrote."""
+        newest, closed, _ = self._progress(spark, FLUSH)
         if newest is None:
             return
         last = -(-newest // MINUTE_NS) + self.params.calendar.lookback_minutes
-        self._close(spark, batch, closed, last, newest)
+        if last > closed:
+            # The mark comes first: results without it would stay for ever.
+            spark.createDataFrame([(closed,)], "closed bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/flushed")
+            self._write(self._detect(spark, FLUSH, closed, last), "detections", FLUSH, "run_date")
 
-    def _close(self, spark: SparkSession, batch: int, start: int, upto: int, newest: int) -> None:
-        if upto > start:
-            self._write(self._detect(spark, batch, start, upto), "detections", batch, "run_date")
-        state = spark.createDataFrame([(newest, upto)], "newest_ns bigint, closed bigint")
-        self._write(state, "progress", batch)
+    def _low(self, start: int) -> int:
+        """The earliest time in the snapshots of the minutes after `start`."""
+        return (start + 1 - self.params.calendar.lookback_minutes) * MINUTE_NS
 
     def _detect(self, spark: SparkSession, batch: int, start: int, upto: int) -> DataFrame:
-        lookback = self.params.calendar.lookback_minutes
-        low, high = (start + 1 - lookback) * MINUTE_NS, upto * MINUTE_NS
+        low, high = self._low(start), upto * MINUTE_NS
         ticks = self._read("ticks", spark, batch + 1).filter(
-            F.col("hour").between(low // HOUR_NS, high // HOUR_NS)
-            & F.col("ts_ns").between(low, high)
+            F.col("slot").between(low // self.slot_ns, high // self.slot_ns) & F.col("ts_ns").between(low, high)
         )
         calendar = replace(self.params.calendar, after_minute=start, upto_minute=upto)
         found = detect_flow(
@@ -162,10 +194,10 @@ class LiveDetector:
             self.weights,
             replace(self.params, calendar=calendar),
         )
-        earlier = self._read("detections", spark, batch)
+        earlier = self._read("recent", spark, batch)
         if earlier is None:
             return found
-        recent = earlier.filter(F.col("initial_ts_ns") >= low).select(*KEY)
+        recent = earlier.filter((F.col("slot") >= low // self.slot_ns) & (F.col("initial_ts_ns") >= low)).select(*KEY)
         return found.join(recent, KEY, "left_anti")
 
     def start(self, ticks: DataFrame) -> StreamingQuery:

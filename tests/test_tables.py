@@ -146,6 +146,39 @@ def test_live_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted(want) and want
 
 
+def test_live_state_stays_small_and_batches_repeat(spark, tmp_path):
+    """Over many batches the stored ticks, keys and progress stay within the look-back; a repeated last batch and a stream that
+    goes on after a flush change nothing."""
+    m = fx.market(spark, SF, 3000)
+    params = DetectionParams(min_unique=2, min_segment=2, core_threshold=2)
+    ticks = tick_rows(m.trades, m.quotes).cache()
+    first_day = ticks.agg(F.min("run_date")).first()[0]
+    ticks = ticks.filter(F.col("run_date") == first_day).cache()
+    bounds = ticks.select(F.percentile("ts_ns", F.array(*[F.lit(k / 8) for k in range(9)])).alias("p")).first().p
+    live, root = LiveDetector(str(tmp_path / "state"), m.weights, params), tmp_path / "state"
+
+    def stored(name):
+        return sorted(p.name for p in (root / name).iterdir() if "=" in p.name) if (root / name).exists() else []
+
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        part = ticks.filter((F.col("ts_ns") >= lo if i == 0 else F.col("ts_ns") > lo) & (F.col("ts_ns") <= hi))
+        live.process(part, i)
+        if i == 4:
+            live.flush(spark)
+            assert (root / "flushed").exists()
+        if i in (5, 7):
+            live.process(part, i)
+        newest, closed, last = live._progress(spark, i + 1)
+        assert last == i and len(stored("progress")) <= 2 and not (i != 4 and (root / "flushed").exists())
+        kept = [int(p.split("=")[1]) for p in stored("ticks")]
+        assert len(kept) <= 2 + (hi - lo) // live.slot_ns + 2
+    live.flush(spark)
+    keys = ["run_date", "time_str", "stock", "side", "initial_ts_ns", "segment_ids", "no_similarity_stock"]
+    want = detect_flow(*[t.filter(F.col("run_date") == first_day) for t in (m.trades, m.quotes, m.weights)], params).select(*keys).collect()
+    got = live.detections(spark).select(*keys).collect()
+    assert sorted(got) == sorted(want) and want
+
+
 def test_two_stage_search_logs_and_resumes(spark, tmp_path, monkeypatch):
     ranges = {**sw.DETECTION_RANGES, "min_unique": (2, 3, 1), "min_segment": (2, 3, 1), "core_threshold": (0, 2, 1)}
     monkeypatch.setattr(sw, "DETECTION_RANGES", ranges)
