@@ -86,6 +86,25 @@ def asof_quotes(spark, sf_dir):
     )
 
 
+@register
+def csv_ticks(spark, sf_dir):
+    """Trades and quotes stored as CSV by date, read back and joined as of each trade. Rows of equal time keep the order
+    they have in the files."""
+    m, root = fx.market(spark, sf_dir), shared_dir(spark, "ticks")
+    stored = {"symbol": F.col("stock"), "ts": F.col("ts_ns")}
+    trades = {**stored, "c": F.col("price"), "mv": F.col("volume")}
+    quotes = {**stored, "bb0_p": F.col("bid"), "bo0_p": F.col("ask")}
+    read = []
+    for kind, rows, columns in (("tick", m.trades, trades), ("book", m.quotes, quotes)):
+        ordered = rows.repartitionByRange("run_date", "src_seq").sortWithinPartitions("run_date", "src_seq")
+        ordered.select("run_date", *[c.alias(n) for n, c in columns.items()]).write.partitionBy("run_date").csv(f"{root}/{kind}", header=True)
+        types = {"ts": "bigint", **{n: "double" for n in list(columns)[2:]}}
+        read.append(tb.read_tick_csv(spark, f"{root}/{kind}/run_date={{date}}", types))
+    ticks, book = tb.as_trades(read[0]), tb.as_quotes(read[1])
+    joined = tk.asof_quotes(tk.basket_only(ticks, m.weights), tk.basket_only(book, m.weights))
+    return joined.select(day("run_date"), "stock", "ts_ns", "price", "volume", "quote_ts_ns", "bid", "ask")
+
+
 @register
 def trade_side(spark, sf_dir):
     """Trades classified as buys and sells."""
@@ -274,15 +293,22 @@ def result_sink(spark, sf_dir):
     """Detections stored by date; storing them again replaces them."""
     path, aside = shared_dir(spark, "results"), shared_dir(spark, "results")
     found = dt.result_layout(_detected(spark, sf_dir))
+    tb.write_results(found, path)
+    tb.write_results(tb.read_results(spark, path, found), aside)
+    tb.write_results(tb.read_results(spark, aside, found), path)
+    return _stored_columns(tb.read_results(spark, path, found))
 
-    def stored(folder):
-        # A day without detections has no folder: the schema cannot come from the files.
-        return spark.read.schema(found.schema).parquet(folder)
 
-    tb.write_results(found, path)
-    tb.write_results(stored(path), aside)
-    tb.write_results(stored(aside), path)
-    return stored(path).select(
+@register
+def result_csv(spark, sf_dir):
+    """Detections stored as CSV files by date and read back."""
+    path, found = shared_dir(spark, "results"), dt.result_layout(_detected(spark, sf_dir))
+    tb.write_results(found, path, "csv")
+    return _stored_columns(tb.read_results(spark, path, found, "csv"))
+
+
+def _stored_columns(stored: DataFrame) -> DataFrame:
+    return stored.select(
         day("run_date"),
         "time_str",
         "stock",
@@ -383,6 +409,17 @@ def equal_width_hist(spark, sf_dir):
     )
 
 
+@register
+def net_flow_hist(spark, sf_dir):
+    """Daily net flows in ten bins of equal width, from a stored table of which two columns are read."""
+    path = shared_dir(spark, "flow")
+    flows = ev.reported_flow(fx.transactions(spark, sf_dir)).withColumn("primary_flow_vnd", cents("primary_flow_vnd"))
+    flows.withColumn("weekend", pg.is_weekend(F.col("Date"))).write.parquet(path)
+    return ev.equal_width_histogram(tb.read_primary_flow(spark.read.parquet(path)), "primary_flow_vnd").select(
+        "bin", cents("bin_left"), cents("bin_right"), "count"
+    )
+
+
 @register
 def numlot_quantiles(spark, sf_dir):
     """Outer quantiles of the lots per similarity."""
@@ -542,6 +579,15 @@ def weight_wide(spark, sf_dir):
     return rows.select(day("Date"), "stock", "volume", half_even(F.col("weight"), 8).alias("weight"))
 
 
+@register
+def wide_csv(spark, sf_dir):
+    """The wide table as a CSV file with a header row of stocks and one of measures, read back as rows."""
+    path = shared_dir(spark, "wide")
+    tb.write_wide_csv(ba.wide_maps(_shifted(spark, sf_dir)), path)
+    rows = tb.read_wide_csv(spark, path)
+    return rows.select(day("Date"), "stock", "volume", half_even(F.col("weight"), 8).alias("weight"))
+
+
 # ---- ingestion -------------------------------------------------------------
 
 
@@ -580,6 +626,16 @@ def fx_fill(spark, sf_dir):
     return filled.withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
 
 
+@register
+def rates_written_back(spark, sf_dir):
+    """A basket table stored by day after the pages' rates were written back to the days that lacked them."""
+    path = shared_dir(spark, "baskets")
+    rows = fx.raw_basket(spark, sf_dir).select(F.col("day").alias("Date"), "stock_code", "usd_to_twd", "usd_to_vnd")
+    rows.repartition("Date").write.partitionBy("Date").parquet(path)
+    tb.write_back_rates(pg.page_rates(fx.fund_pages(spark, sf_dir)), path)
+    return spark.read.parquet(path).withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
+
+
 @register
 def rate_gaps(spark, sf_dir):
     """Days whose basket lacks the exchange rates."""

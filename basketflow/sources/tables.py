@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import csv
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketflow.operators.evaluation import best_per_stage
 from basketflow.session import shared_dir
+from basketflow.sources.pages import dates_without_rates, fill_rates
 
 
 def read_csv_files(spark: SparkSession, files: list[str], types: dict[str, str]) -> DataFrame:
@@ -53,6 +55,32 @@ def read_ticks(spark: SparkSession, root: str, run_dates: list[str] | None = Non
     return df.withColumn("run_date", F.col("run_date").cast("date"))
 
 
+def read_tick_csv(spark: SparkSession, template: str, types: dict[str, str], run_dates: list[str] | None = None) -> DataFrame:
+    """Ticks or quotes of one CSV file (or folder of files) a date. `{date}` in `template` stands for the date as
+    yyyy-MM-dd, as in `/data/tick/{date}.csv`. `symbol` becomes `stock`.
+
+    Only the files of `run_dates` are listed, and a date without a file is an error. Columns are found by the header,
+    which must be the same in all files (an error otherwise); those of `types` are kept, and a value that its type
+    cannot hold is NULL. `src_seq` is the place in the date's files (file, block, row), so rows of equal time keep
+    their order however Spark splits a file.
+    """
+    paths = [template.replace("{date}", d) for d in run_dates] if run_dates else template.replace("{date}", "*")
+    around = [re.escape(part) for part in template.rsplit("/", 1)[-1].split("{date}")]
+    day = F.regexp_extract("_metadata.file_path", rf"/{around[0]}(\d{{4}}-\d{{2}}-\d{{2}}){around[1]}(/[^/]*)?$", 1)
+    place = F.struct(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    raw = spark.read.csv(paths, header=True, enforceSchema=False)
+    return raw.select(
+        F.to_date(day).alias("run_date"),
+        F.col("symbol").alias("stock"),
+        place.alias("src_seq"),
+        *[F.col(c).try_cast(t).alias(c) for c, t in types.items()],
+    )
+
+
 def as_trades(raw: DataFrame) -> DataFrame:
     """Engine columns of a raw tick table (`ts`, `c`, `mv`)."""
     return raw.select(
@@ -102,14 +130,48 @@ def read_primary_flow(df: DataFrame) -> DataFrame:
     return df.select(F.col("Date").cast("date").alias("Date"), "primary_flow_vnd")
 
 
-def write_results(detections: DataFrame, path: str) -> None:
-    """One partition per run date; only the dates in the frame are replaced."""
-    (
+# Text of a time with all the digits Spark keeps.
+RESULT_TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def write_results(detections: DataFrame, path: str, form: str = "parquet") -> None:
+    """One partition per run date, as Parquet or CSV; only the dates in the frame are replaced."""
+    writer = (
         detections.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_date")
-        .parquet(path)
+        .format(form)
     )
+    if form == "csv":
+        writer = writer.options(header=True, timestampFormat=RESULT_TIMES)
+    writer.save(path)
+
+
+def read_results(spark: SparkSession, path: str, like: DataFrame, form: str = "parquet") -> DataFrame:
+    """Stored results with the columns of `like`. A day without detections has no folder, so the schema does not come
+    from the files."""
+    # The partition column follows those of the files.
+    held = like.select(*[c for c in like.columns if c != "run_date"], "run_date")
+    reader = spark.read.schema(held.schema).format(form)
+    if form == "csv":
+        reader = reader.options(header=True, enforceSchema=False, timestampFormat=RESULT_TIMES)
+    return reader.load(path).select(*like.columns)
+
+
+def write_back_rates(rates: DataFrame, path: str) -> None:
+    """Fill the exchange rates into a basket table stored by `Date`. Only days that lack them and that `rates` (one row
+    per requested day) knows are rewritten; files of other days stay as they are. The new rows are written aside before
+    they replace the old, so a job that is lost on the way leaves each day whole; running it again completes it."""
+    spark = rates.sparkSession
+    stored = spark.read.parquet(path)
+    known = rates.filter("usd_to_twd IS NOT NULL OR usd_to_vnd IS NOT NULL")
+    days = dates_without_rates(stored).join(known.select(F.col("requested_date").alias("Date")), "Date", "left_semi")
+    filled = fill_rates(stored.join(days, "Date", "left_semi"), rates)
+    aside = shared_dir(spark, "rates")
+    filled.write.parquet(aside)
+    # The data lie by day already; a day's rows meet again, so that it has few files.
+    again = spark.read.schema(filled.schema).parquet(aside).repartition("Date")
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Date").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -145,6 +207,68 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def _quoted(name: Column) -> Column:
+    """A cell of CSV text."""
+    marked = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(name.rlike('[",]'), marked).otherwise(name)
+
+
+def write_wide_csv(wide: DataFrame, path: str) -> None:
+    """A row per date and a column per stock and measure, as CSV text with two header rows: stocks, then measures.
+
+    `wide` is that of `wide_maps`, for any number of stocks. The rows are in order of date over the files of the folder,
+    the headers first. Names hold no line breaks.
+    """
+    rows = wide.select("Date", F.array_sort(F.map_entries("stocks")).alias("cells"))
+    values = F.flatten(
+        F.transform("cells", lambda c: F.array(*[F.coalesce(c["value"][m].cast("string"), F.lit("")) for m in WIDE_MEASURES]))
+    )
+    # Every date has every stock: the headers come from any one of them.
+    one = rows.agg(F.min_by("cells", "Date").alias("cells")).filter("cells IS NOT NULL")
+    names = F.flatten(F.transform("cells", lambda c: F.array_repeat(_quoted(c["key"]), len(WIDE_MEASURES))))
+    measures = F.flatten(F.transform("cells", lambda c: F.array(*[F.lit(m) for m in WIDE_MEASURES])))
+    no_date = F.lit(None).cast("date").alias("Date")
+    lines = (
+        one.select(F.lit(0).alias("kind"), no_date, F.concat_ws(",", F.array(F.lit("")), names).alias("value"))
+        .unionByName(one.select(F.lit(1).alias("kind"), no_date, F.concat_ws(",", F.array(F.lit("Date")), measures).alias("value")))
+        .unionByName(rows.select(F.lit(2).alias("kind"), "Date", F.concat_ws(",", F.array(F.col("Date").cast("string")), values).alias("value")))
+    )
+    lines.orderBy("kind", "Date").select("value").write.mode("overwrite").text(path)
+
+
+# The measures of a stock in the wide file.
+WIDE_MEASURES = ("volume", "weight")
+
+
+def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows (Date, stock, volume, weight) of a wide file with two header rows, in whatever order its columns are.
+    Only the two header lines meet in one task."""
+    place = F.struct(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    # One more comma, so that every cell ends with one.
+    cells = F.regexp_extract_all(F.concat("value", F.lit(",")), F.lit('("(?:[^"]|"")*"|[^,]*),'), 1)
+    plain = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    lines = spark.read.text(path).select(place.alias("place"), plain.alias("cells"))
+    heads = (
+        lines.orderBy("place")
+        .limit(2)
+        .agg(F.min_by("cells", "place").alias("stocks"), F.max_by("cells", "place").alias("measures"), F.max("place").alias("upto"))
+        .withColumn("_k", F.lit(1))
+    )
+    cell = F.explode(F.slice(F.arrays_zip("stocks", "measures", "cells"), 2, F.size("cells"))).alias("at")
+    rows = (
+        lines.withColumn("_k", F.lit(1))
+        .join(heads, "_k")
+        .filter(F.col("place") > F.col("upto"))
+        .select(F.col("cells")[0].cast("date").alias("Date"), cell)
+    )
+    of = [F.max(F.when(F.col("at.measures") == m, F.col("at.cells")).try_cast("double")).alias(m) for m in WIDE_MEASURES]
+    return rows.groupBy("Date", F.col("at.stocks").alias("stock")).agg(*of)
+
+
 def append_trials(trials: DataFrame, path: str) -> None:
     trials.write.mode("append").parquet(path)
 

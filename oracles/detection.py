@@ -39,6 +39,9 @@ ORACLES = {
         ASOF,
         f"SELECT {DAY}, stock, ts_ns, src_seq, price, quote_ts_ns, quote_seq, bid, ask FROM quoted",
     ),
+    "csv_ticks": upto(
+        ASOF, f"SELECT {DAY}, stock, ts_ns, price, volume, quote_ts_ns, bid, ask FROM quoted"
+    ),
     "trade_side": upto(
         SIDED, f"SELECT {DAY}, stock, ts_ns, src_seq, price, bid, ask, side FROM sided"
     ),
@@ -119,3 +122,5 @@ ORACLES = {
       FROM supplier), {bucket_ctes('p')}
     SELECT param_id, bucket_idx, lot, lo, hi FROM buckets""",
 }
+
+ORACLES["result_csv"] = ORACLES["result_sink"]

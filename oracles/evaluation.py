@@ -139,6 +139,13 @@ ORACLES = {
       SELECT CAST(i AS INTEGER) AS bin, {r('low + i * w', 6, 'bin_left')}, {r('low + (i + 1) * w', 6, 'bin_right')},
              (SELECT count(*) FROM placed p WHERE p.bin = i) AS count
       FROM ends, range(0, 10) g(i)""",
+    "net_flow_hist": f"""WITH {TX},
+      flows AS (SELECT {cents('sum(buy * price - sell * price)', 'flow')} FROM tx GROUP BY date),
+      ends AS (SELECT min(flow)::DOUBLE AS low, (max(flow) - min(flow)) / 10.0::DOUBLE AS w FROM flows),
+      placed AS (SELECT least(floor((flow - low) / w), 9) AS bin FROM flows, ends)
+      SELECT CAST(i AS INTEGER) AS bin, {cents('low + i * w', 'bin_left')}, {cents('low + (i + 1) * w', 'bin_right')},
+             (SELECT count(*) FROM placed p WHERE p.bin = i) AS count
+      FROM ends, range(0, 10) g(i)""",
     "numlot_quantiles": f"""WITH {LOTS} SELECT CAST(similarity AS INTEGER) AS similarity, n,
         {r('q_low', 8)}, {r('q_high', 8)} FROM quant""",
     "lot_folders": f"""WITH {LOTS} SELECT CAST(similarity AS INTEGER) AS similarity, count(*) AS n,
@@ -181,3 +188,4 @@ ORACLES = {
 }
 
 ORACLES["weight_wide"] = ORACLES["weight_dense"]
+ORACLES["wide_csv"] = ORACLES["weight_wide"]

@@ -83,3 +83,5 @@ ORACLES = {
       SELECT strftime(data_d, '%Y-%m-%d') AS data_date, strftime(d, '%Y-%m-%d') AS requested_date,
              CAST(nav AS VARCHAR) AS nav FROM w""",
 }
+
+ORACLES["rates_written_back"] = ORACLES["fx_fill"]

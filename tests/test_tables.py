@@ -9,6 +9,7 @@ from basketflow import fixtures as fx
 from basketflow.functions.scalars import half_even, lenient_date
 from basketflow.operators import basket as ba
 from basketflow.operators import evaluation as ev
+from basketflow.operators import ticks as tk
 from basketflow.params import DetectionParams
 from basketflow.plans.detect import RESULT, detect_flow, result_layout
 from basketflow.plans import sweep as sw
@@ -299,3 +300,87 @@ def test_folder_table_as_stream(spark, tmp_path):
         stream = table_stream(spark, str((tmp_path / name).resolve() / "events.parquet"), "id long")
         stream.writeStream.format("parquet").option("checkpointLocation", out + "-c").trigger(availableNow=True).start(out).awaitTermination()
         assert spark.read.parquet(out).count() == n
+
+
+def test_csv_ticks_keep_the_order_of_equal_times(spark, tmp_path):
+    """A file that Spark cuts into many blocks; all quotes have one time, so that only their order decides."""
+    lines = ["other,symbol,ts,bb0_p,bo0_p"] + [f"x,A,7,{i},{i + 1}" for i in range(20000)] + ["x,A,7,19.5,"]
+    (tmp_path / "book").mkdir()
+    (tmp_path / "book" / "2024-01-01.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "book" / "2024-01-02.csv").write_text("other,symbol,ts,bb0_p,bo0_p\nx,A,7,n/a,2\n")
+    (tmp_path / "tick").mkdir()
+    (tmp_path / "tick" / "2024-01-01.csv").write_text("symbol,ts,c,mv\nA,8,1.5,10\n")
+    types = {"ts": "bigint", "bb0_p": "double", "bo0_p": "double"}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        first = tb.read_tick_csv(spark, str(tmp_path / "book/{date}.csv"), types, ["2024-01-01"])
+        assert first.rdd.getNumPartitions() > 5
+        placed = first.orderBy("src_seq").select("bb0_p").collect()
+        assert [r.bb0_p for r in placed] == [*map(float, range(20000)), 19.5]
+        ticks = tb.read_tick_csv(spark, str(tmp_path / "tick/{date}.csv"), {"ts": "bigint", "c": "double", "mv": "double"})
+        (row,) = tk.asof_quotes(tb.as_trades(ticks), tb.as_quotes(first)).collect()
+        assert (row.run_date, row.bid, row.ask) == (date(2024, 1, 1), 19.5, None)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    both = tb.read_tick_csv(spark, str(tmp_path / "book/{date}.csv"), types)
+    (late,) = both.filter("run_date = '2024-01-02'").collect()
+    assert (late.stock, late.bb0_p, late.bo0_p) == ("A", None, 2.0) and both.count() == 20002
+    (tmp_path / "book" / "2024-01-03.csv").write_text("symbol,other,ts,bb0_p,bo0_p\nA,x,7,1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tb.read_tick_csv(spark, str(tmp_path / "book/{date}.csv"), types, ["2024-01-01", "2024-01-03"]).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tb.read_tick_csv(spark, str(tmp_path / "book/{date}.csv"), types, ["2024-01-09"]).collect()
+
+
+def test_rates_are_written_back_to_their_days_only(spark, tmp_path):
+    path = tmp_path / "baskets"
+    rows = [(date(2024, 1, 1), "A", None, None), (date(2024, 1, 1), "B", None, None), (date(2024, 1, 2), "A", 30.0, 25000.0), (date(2024, 1, 3), "A", None, None)]
+    spark.createDataFrame(rows, "Date date, stock_code string, usd_to_twd double, usd_to_vnd double").write.partitionBy("Date").parquet(str(path))
+    rates = spark.createDataFrame(
+        [(date(2024, 1, 1), 31.0, None), (date(2024, 1, 2), 99.0, 99.0), (date(2024, 1, 3), None, None)],
+        "requested_date date, usd_to_twd double, usd_to_vnd double",
+    )
+
+    def files():
+        return {d: sorted((p.name, p.stat().st_mtime_ns) for p in (path / f"Date=2024-01-0{d}").glob("part-*")) for d in (1, 2, 3)}
+
+    before = files()
+    for _ in range(2):
+        tb.write_back_rates(rates, str(path))
+        got = spark.read.parquet(str(path)).select("Date", "stock_code", "usd_to_twd", "usd_to_vnd").collect()
+        assert sorted((r.Date.day, r.stock_code, r.usd_to_twd, r.usd_to_vnd) for r in got) == [(1, "A", 31.0, None), (1, "B", 31.0, None), (2, "A", 30.0, 25000.0), (3, "A", None, None)]
+        after = files()
+        assert after[1] != before[1] and (after[2], after[3]) == (before[2], before[3])
+
+
+def test_csv_results_are_replaced_by_date(spark, tmp_path):
+    m = fx.market(spark, SF, 3000)
+    out = result_layout(detect_flow(m.trades, m.quotes, m.weights, DetectionParams(min_unique=2, min_segment=2, core_threshold=2)))
+    for form in ("csv", "parquet"):
+        path = str(tmp_path / form)
+        tb.write_results(out, path, form)
+        tb.write_results(out.filter("run_date = '2024-01-01'"), path, form)
+        stored = tb.read_results(spark, path, out, form)
+        assert stored.dtypes == out.dtypes
+        assert sorted(map(str, stored.collect())) == sorted(map(str, out.collect())) != []
+
+
+def test_wide_csv_has_two_headers(spark, tmp_path):
+    rows = [(date(2024, 1, d), s, float(d), d / 7) for d, s in ((1, "A"), (1, 'B,"x"'), (2, "C"), (3, "A"))]
+    df = spark.createDataFrame(rows + [(date(2024, 1, 2), "A", None, None)], "Date date, stock string, volume double, weight double")
+    path = str(tmp_path / "wide")
+    tb.write_wide_csv(ba.wide_maps(df), path)
+    text = [line for p in sorted((tmp_path / "wide").glob("part-*")) for line in p.read_text().splitlines()]
+    assert text[:2] == [',A,A,"B,""x""","B,""x""",C,C', "Date,volume,weight,volume,weight,volume,weight"]
+    assert [line.split(",")[0] for line in text[2:]] == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert text[3].split(",")[1:5] == [""] * 4
+    key = lambda r: r[:2]
+    want = sorted(map(tuple, ba.dense_weights(df).select("Date", "stock", "volume", "weight").collect()), key=key)
+    assert sorted(map(tuple, tb.read_wide_csv(spark, path).collect()), key=key) == want and len(want) == 9
+    # Columns in another order, measures apart.
+    (tmp_path / "other.csv").write_text(",B,A,A\nDate,weight,weight,volume\n2024-01-01,0.5,,3\n")
+    got = sorted(map(tuple, tb.read_wide_csv(spark, str(tmp_path / "other.csv")).collect()), key=key)
+    assert got == [(date(2024, 1, 1), "A", 3.0, None), (date(2024, 1, 1), "B", None, 0.5)]
+    tb.write_wide_csv(ba.wide_maps(df.limit(0)), path)
+    assert tb.read_wide_csv(spark, path).collect() == []
