@@ -628,12 +628,14 @@ def fx_fill(spark, sf_dir):
 
 @register
 def rates_written_back(spark, sf_dir):
-    """A basket table stored by day after the pages' rates were written back to the days that lacked them."""
+    """A basket table stored by month after the pages' rates were written back to the days that lacked them."""
     path = shared_dir(spark, "baskets")
     rows = fx.raw_basket(spark, sf_dir).select(F.col("day").alias("Date"), "stock_code", "usd_to_twd", "usd_to_vnd")
-    rows.repartition("Date").write.partitionBy("Date").parquet(path)
-    tb.write_back_rates(pg.page_rates(fx.fund_pages(spark, sf_dir)), path)
-    return spark.read.parquet(path).withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
+    months = rows.withColumn("data_month", F.date_format("Date", "yyyyMM").cast("int"))
+    months.repartition("data_month").write.partitionBy("data_month").parquet(path)
+    tb.write_back_rates(pg.page_rates(fx.fund_pages(spark, sf_dir)), path, "data_month")
+    stored = spark.read.parquet(path).drop("data_month")
+    return stored.withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
 
 
 @register

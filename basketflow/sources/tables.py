@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from basketflow.operators.evaluation import best_per_stage
 from basketflow.session import shared_dir
-from basketflow.sources.pages import dates_without_rates, fill_rates
+from basketflow.sources.pages import fill_rates
 
 
 def read_csv_files(spark: SparkSession, files: list[str], types: dict[str, str]) -> DataFrame:
@@ -130,6 +130,9 @@ def read_primary_flow(df: DataFrame) -> DataFrame:
     return df.select(F.col("Date").cast("date").alias("Date"), "primary_flow_vnd")
 
 
+# Tasks that write one month.
+SINK_TASKS = 8
+
 # Text of a time with all the digits Spark keeps.
 RESULT_TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -158,20 +161,20 @@ def read_results(spark: SparkSession, path: str, like: DataFrame, form: str = "p
     return reader.load(path).select(*like.columns)
 
 
-def write_back_rates(rates: DataFrame, path: str) -> None:
-    """Fill the exchange rates into a basket table stored by `Date`. Only days that lack them and that `rates` (one row
-    per requested day) knows are rewritten; files of other days stay as they are. The new rows are written aside before
-    they replace the old, so a job that is lost on the way leaves each day whole; running it again completes it."""
+def write_back_rates(rates: DataFrame, path: str, by: str = "Date") -> None:
+    """Fill the exchange rates into a basket table that is partitioned by `by` (`Date` or a column that follows from it,
+    such as its month). Only partitions with a day that lacks rates and that `rates` (one row per requested day) knows
+    are rewritten; the files of all others stay as they are. The new rows are written aside before they replace the old,
+    and running a lost job again completes it: the rates of a filled day are not touched again."""
     spark = rates.sparkSession
     stored = spark.read.parquet(path)
-    known = rates.filter("usd_to_twd IS NOT NULL OR usd_to_vnd IS NOT NULL")
-    days = dates_without_rates(stored).join(known.select(F.col("requested_date").alias("Date")), "Date", "left_semi")
-    filled = fill_rates(stored.join(days, "Date", "left_semi"), rates)
+    known = rates.filter("usd_to_twd IS NOT NULL OR usd_to_vnd IS NOT NULL").select(F.col("requested_date").alias("Date"))
+    lacking = stored.filter("usd_to_twd IS NULL").select(by, "Date").distinct().join(known, "Date", "left_semi")
+    filled = fill_rates(stored.join(lacking.select(by).distinct(), by, "left_semi"), rates)
     aside = shared_dir(spark, "rates")
     filled.write.parquet(aside)
-    # The data lie by day already; a day's rows meet again, so that it has few files.
-    again = spark.read.schema(filled.schema).parquet(aside).repartition("Date")
-    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Date").parquet(path)
+    again = spark.read.schema(filled.schema).parquet(aside).repartition(by, F.pmod(F.xxhash64("Date"), F.lit(SINK_TASKS)))
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -184,10 +187,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-# Tasks that write one month.
-SINK_TASKS = 8
-
-
 def append_new_dates(rows: DataFrame, path: str) -> None:
     """First writer wins: only the days (of a fund, with an `etf_code`) that the
     table does not hold yet are added. Partitioned by month: a directory per day
