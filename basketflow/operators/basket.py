@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from basketflow.functions.scalars import lenient_date, safe_div
 
+# Column names and renames (here to JOIN_KEYS) that must match the files.
 COMPOSITION = (
     "total_advance_subscription",
     "nav",
