@@ -81,3 +81,13 @@ SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_chil
        coalesce(e.ends_sha256, sha256('')) AS ends_sha256
 FROM full_nodes a JOIN subtrees s ON s.path = a.path LEFT JOIN ends e ON e.path = a.path
 LEFT JOIN nodes p ON p.depth = a.depth - 1 AND p.path = left(a.path, 32 * (a.depth - 1))"""
+
+WARC_REVISIT = """
+WITH payloads AS (
+  SELECT CAST(page_id AS BIGINT) AS page_id, sha256(coalesce(html, '')) AS payload_digest,
+         CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM firsts"""
