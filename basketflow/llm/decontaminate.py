@@ -3,8 +3,9 @@
 Every task turns its documents into shards of bounded size and builds each shard's suffix array over words. Each distinct
 window of the benchmark's suffixes is then binary-searched in it once, so a word of the text begins at most one match of a
 length. Hit words come from the windows, items from a list by window, and runs of windows that follow each other in an item
-are the longest matches. Documents are never shuffled. The benchmark is sent in blocks of bounded size over its distinct
-texts, each a further pass over the rows, so its size is not limited by an executor's memory.
+are the longest matches. The benchmark is sent in blocks of bounded size over its distinct texts, each a further pass and job,
+so its size is not limited by an executor's memory. With one block no document is shuffled; with more, the findings of all but
+the last are joined to the documents by digest.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import slices, text_of
+from basketflow.llm.common import slices, text_of, written
 
 #: Bytes of documents in one suffix array, and of benchmark text in one block.
 SHARD_BYTES = 4 << 20
@@ -222,9 +225,8 @@ def _search(texts: list[str], bench: Benchmark, with_names: bool = True) -> Iter
         yield int(n_words), spans, names, best
 
 
-def _pass(docs: DataFrame, bench: Benchmark, with_names: bool, report=None, schema=None) -> DataFrame:
+def _pass(docs: DataFrame, sent: Broadcast, with_names: bool, report=None, schema=None) -> DataFrame:
     """One block's matches added to each row; then `report`, if there is one, makes rows of `schema` of them."""
-    sent = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -284,9 +286,9 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[list[str], str]]]:
-    """(ids, text) of each distinct text, in blocks of about `block_bytes` of text."""
+    """(ids, text) of each distinct text, in blocks of about `block_bytes` of text. The table is grouped once."""
     items = bench.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
-    items = items.groupBy("text").agg(F.collect_set("name").alias("names"))
+    items = written(items.groupBy("text").agg(F.collect_set("name").alias("names")), "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
@@ -294,17 +296,40 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[list[str]
         yield [(r["names"], r["text"]) for r in part.collect()]
 
 
+def _merged(hits: list[DataFrame]) -> DataFrame:
+    """What the blocks found in each text, by the text's digest. Copies of a text have equal rows, which are one in a set."""
+    best = F.min(F.struct((-F.col("longest")).alias("less"), "longest_start", "longest_item")).alias("best")
+    found = reduce(DataFrame.unionByName, hits).groupBy("of").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"), best)
+    items = F.array_sort(F.array_distinct("items")).alias("items")
+    return found.select("of", "spans", items, (-F.col("best.less")).alias("longest"), "best.longest_item", "best.longest_start")
+
+
 def _searched(rows: DataFrame, bench: DataFrame, window: int, block_bytes: int, with_names: bool = True, report=None, schema=None) -> DataFrame:
-    """`rows`, which have a text, with what all blocks of the benchmark find in it, or what the last pass reports of it."""
+    """`rows`, which have a text, with what all blocks of the benchmark find in it, or what the last pass reports of it.
+
+    Each block but the last is a job of its own that writes, by digest of the text, what it found in the texts it hit; so
+    driver and tasks hold one block at a time, whatever the benchmark's size.
+    """
     none = {"n_words": "long", "spans": "array<long>", "items": "array<string>", "longest": "long", "longest_item": "string", "longest_start": "long"}
     start = {"n_words": F.lit(0), "longest": F.lit(0), "spans": F.array(), "items": F.array()}
-    rows = rows.withColumns({n: start.get(n, F.lit(None)).cast(kind) for n, kind in none.items()})
+    empty = {n: start.get(n, F.lit(None)).cast(kind) for n, kind in none.items()}
+    digest = F.unhex(F.md5("text"))
+    context = rows.sparkSession.sparkContext
+    hits: list[DataFrame] = []
     last: list[tuple[list[str], str]] | None = None
     for block in _blocks(bench, block_bytes):
         if last is not None:
-            rows = _pass(rows, Benchmark(last, window), with_names)
+            sent = context.broadcast(Benchmark(last, window))
+            found = _pass(rows.select("text").withColumns(empty), sent, with_names).where(F.size("spans") > 0)
+            hits.append(written(found.select(digest.alias("of"), *[c for c in none if c != "n_words"]), "hits"))
+            sent.destroy()
         last = block
-    return _pass(rows, Benchmark(last or [], window), with_names, report, schema)
+    if hits:
+        known = _merged(hits)
+        rows = rows.withColumn("of", digest).join(known, "of", "left").drop("of").withColumns({n: F.coalesce(n, x) if n in known.columns else x for n, x in empty.items()})
+    else:
+        rows = rows.withColumns(empty)
+    return _pass(rows, context.broadcast(Benchmark(last or [], window)), with_names, report, schema)
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -91,3 +91,76 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
 FROM firsts"""
+
+SUFFIX_DEDUP = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+pieces AS (
+  SELECT rid, q * 400 AS first, substr(h, q * 800 + 1, 1198) AS piece
+  FROM (SELECT rid, h, unnest(range(0, CAST(strlen(h) // 800 AS BIGINT) + 1)) AS q FROM docs)),
+spots AS (
+  SELECT rid, first + o AS pos, md5_number(substr(piece, 2 * o + 1, 400)) AS s
+  FROM (SELECT rid, first, piece, unnest(range(0, least(400, CAST(strlen(piece) // 2 AS BIGINT) - 199))) AS o FROM pieces)),
+repeats AS (SELECT s FROM spots GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT rid, pos FROM spots SEMI JOIN repeats USING (s)),
+gaps AS (SELECT rid, pos, CASE WHEN pos <= 200 + lag(pos) OVER w THEN 0 ELSE 1 END AS opens FROM hits WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+runs AS (
+  SELECT rid, min(pos) AS a, max(pos) + 200 AS b
+  FROM (SELECT rid, pos, sum(opens) OVER (PARTITION BY rid ORDER BY pos) AS run FROM gaps) GROUP BY rid, run),
+cut AS (
+  SELECT rid, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(starts) + 2),
+         lambda k: substr(h, 2 * coalesce(ends[k - 1], 0) + 1, 2 * (coalesce(starts[k], strlen(h) // 2) - coalesce(ends[k - 1], 0)))), '') END)) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid)"""
+
+NGRAM_JACCARD = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS digest,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT digest, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) END) AS g
+  FROM (SELECT digest, any_value(w) AS w FROM texts GROUP BY digest)),
+sized AS (SELECT digest, len(g) AS n, g FROM grams),
+shingles AS (SELECT digest, n, md5_number(unnest(g)) AS s FROM sized),
+linked AS (
+  SELECT a.digest AS x, b.digest AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.digest < b.digest
+   AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
+  GROUP BY a.digest, b.digest, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reached AS (
+  SELECT digest AS x, digest AS y FROM sized WHERE n > 0
+  UNION SELECT r.x, e.y FROM reached r JOIN edges e ON r.y = e.x),
+ids AS (SELECT digest, min(doc_id) AS least_id FROM texts GROUP BY digest),
+classes AS (SELECT x AS digest, min(least_id) AS component_id FROM reached JOIN ids ON ids.digest = reached.y GROUP BY x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM texts JOIN sized USING (digest) LEFT JOIN classes USING (digest)"""
+
+DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT row_number() OVER () AS iid, coalesce(CAST(item_id AS VARCHAR), 'null') AS name, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT iid, name, size, q, array_to_string(w[q:q + size - 1], ' ') AS gram
+  FROM (SELECT iid, name, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS q FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT rid, size, p, array_to_string(w[p:p + size - 1], ' ') AS gram
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM docs, sizes WHERE len(w) >= size)),
+found AS (SELECT DISTINCT rid, size, p, gram FROM grams SEMI JOIN windows USING (size, gram)),
+hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(p, p + size)) AS pos FROM found) GROUP BY rid),
+placed AS (SELECT rid, size, p, q, iid, name FROM found JOIN windows USING (size, gram)),
+named AS (
+  SELECT rid, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256
+  FROM (SELECT DISTINCT rid, name FROM placed) GROUP BY rid),
+runs AS (
+  SELECT rid, name, min(p) - 1 AS first, size + count(*) - 1 AS longest
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY rid, iid, size, p - q ORDER BY p) AS run FROM placed)
+  GROUP BY rid, iid, name, size, p - q, run),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY longest DESC, first, name) = 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       CAST(coalesce(longest, 0) AS BIGINT) AS longest, best.name AS longest_item, CAST(first AS BIGINT) AS longest_start
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid) LEFT JOIN best USING (rid)"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketflow.llm import cross_polytope, decontaminate, filter_audit, license_scan, ngram_join, packing, pii, prefix_trie, quality_rules, quotation, suffix_dedup, toxicity, warc
 from basketflow.llm.common import scratch, table
-from basketflow.llm.oracles import FILTER_AUDIT, PREFIX_TRIE, WARC_REVISIT
+from basketflow.llm.oracles import DECONTAMINATION, FILTER_AUDIT, NGRAM_JACCARD, PREFIX_TRIE, SUFFIX_DEDUP, WARC_REVISIT
 
 
 def tokenizer_path() -> str:
@@ -91,4 +91,11 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op6_warc_revisit": WARC_REVISIT, "op11_prefix_trie": PREFIX_TRIE, "op13_filter_audit": FILTER_AUDIT}
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": SUFFIX_DEDUP,
+    "op2_ngram_jaccard": NGRAM_JACCARD,
+    "op6_warc_revisit": WARC_REVISIT,
+    "op9_suffix_decontamination": DECONTAMINATION,
+    "op11_prefix_trie": PREFIX_TRIE,
+    "op13_filter_audit": FILTER_AUDIT,
+}

@@ -508,6 +508,17 @@ def test_decontamination_of_a_shared_prompt(spark):
     assert found.selectExpr("max(size(spans)) AS n").first().n <= 4
 
 
+def test_one_block_of_the_benchmark_in_a_stage(spark, capsys):
+    items = [(k, " ".join(f"item{k}x{j}" for j in range(12))) for k in range(40)]
+    rows = [(k, "start " + items[k][1] + " then " + items[39 - k][1]) for k in range(40)] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=200)
+    capsys.readouterr()
+    got.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert Counter(tuple(r)[:6] for r in got.collect()) == brute_hits(rows, items)
+
+
 def test_decontamination_blocks_of_a_repeated_text(spark):
     items = [(k, "one and the same text of a test that is there very often") for k in range(400)] + [(1000 + k, f"a text of its own, number {k}, in the test") for k in range(200)]
     blocks = [*decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string"), 2000)]

@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 
 from basketflow.llm import cross_polytope, filter_audit, prefix_trie
 from basketflow.llm.common import table
-from basketflow.llm.oracles import FILTER_AUDIT, PREFIX_TRIE
-from basketflow.llm.registered import QUERIES
+from basketflow.llm.registered import ORACLES, QUERIES
 from compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("key,sql", [("op11_prefix_trie", PREFIX_TRIE), ("op13_filter_audit", FILTER_AUDIT)])
-def test_queries_equal_their_oracles(spark, key, sql):
-    assert difference(QUERIES[key](spark, SF), duck(SF), sql) is None
+@pytest.mark.parametrize("key", sorted(ORACLES))
+def test_queries_equal_their_oracles(spark, key):
+    assert difference(QUERIES[key](spark, SF), duck(SF), ORACLES[key]) is None
 
 
 # ---- 11
