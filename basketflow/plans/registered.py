@@ -676,7 +676,7 @@ def first_writer_sink(spark, sf_dir):
     firsts = pg.first_pages(weekdays).select("data_date", "requested_date", "nav")
     tb.append_new_dates(firsts, path)
     tb.append_new_dates(firsts.withColumn("nav", F.lit("changed")), path)
-    return spark.read.parquet(path).select(day("data_date"), day("requested_date"), "nav")
+    return tb.read_first_dates(spark, path).select(day("data_date"), day("requested_date"), "nav")
 
 
 # ---- parameter search ------------------------------------------------------

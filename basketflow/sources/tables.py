@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import csv
 import re
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketflow.operators.evaluation import best_per_stage
@@ -187,21 +190,48 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+# Columns that tell which write a row came with: when it began, by its driver's clock, and its own id.
+WRITER = ("written_at", "writer")
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"written_at": F.lit(time.time_ns()), "writer": F.lit(uuid.uuid4().hex)})
+
+
+def _day_keys(rows: DataFrame) -> list[str]:
+    return [c for c in ("etf_code", "data_date") if c in rows.columns]
+
+
 def append_new_dates(rows: DataFrame, path: str) -> None:
     """First writer wins: only the days (of a fund, with an `etf_code`) that the
     table does not hold yet are added. Partitioned by month: a directory per day
     would leave one tiny file for each; a month's days are written by several
-    tasks."""
+    tasks.
+
+    Rows carry their writer. Two writers at once may both add a day, as neither
+    sees the other; `read_first_dates` then gives the rows of one of them."""
     spark = rows.sparkSession
     if _exists(spark, path):
-        keys = [c for c in ("etf_code", "data_date") if c in rows.columns]
+        keys = _day_keys(rows)
         months = rows.select(F.date_format("data_date", "yyyyMM").cast("int").alias("data_month")).distinct()
         stored = spark.read.parquet(path).join(months, "data_month", "left_semi").select(*keys).distinct()
         rows = rows.join(stored, keys, "left_anti")
-    month = rows.withColumn("data_month", F.date_format("data_date", "yyyyMM"))
+    month = _signed(rows).withColumn("data_month", F.date_format("data_date", "yyyyMM"))
     month.repartition("data_month", F.pmod(F.xxhash64("data_date"), F.lit(SINK_TASKS))).write.mode("append").partitionBy("data_month").parquet(path)
 
 
+def read_first_dates(spark: SparkSession, path: str) -> DataFrame:
+    """What `append_new_dates` stored: of a day's writers the first, with all rows it gave for that day.
+
+    Only days and writers are grouped; those that came late are nearly always none, and leave by an anti-join."""
+    stored = spark.read.parquet(path)
+    keys = _day_keys(stored)
+    writers = stored.select(*keys, *WRITER).distinct()
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*WRITER))
+    late = writers.withColumn("_place", place).filter("_place > 1").drop("_place")
+    return stored.join(late, [*keys, *WRITER], "left_anti").drop(*WRITER)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
@@ -277,19 +307,20 @@ def stored_trials(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def upsert_best(best: DataFrame, path: str) -> None:
-    """Keep the better of the stored and the given row of each stage; the stage
-    is the partition, and only the stages in the frame are rewritten."""
+    """Keep the better of the stored and the given row of each stage, the stored
+    one on a tie. A row is added where it beats those that are there, and nothing
+    is overwritten: writers at once cannot lose each other's rows, and `read_best`
+    takes the best of all."""
     spark = best.sparkSession
+    best = best_per_stage(best)
     if _exists(spark, path):
-        stored = spark.read.parquet(path).join(best.select("stage").distinct(), "stage", "left_semi")
-        merged = best_per_stage(stored.select(*best.columns).unionByName(best))
-        # The old rows are read before they are replaced.
-        aside = shared_dir(spark, "best")
-        merged.write.parquet(aside)
-        best = spark.read.schema(merged.schema).parquet(aside)
-    (
-        best.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("stage")
-        .parquet(path)
-    )
+        least = spark.read.parquet(path).groupBy("stage").agg(F.min("mae").alias("_least"))
+        best = best.join(least, "stage", "left").filter("_least IS NULL OR mae < _least").drop("_least")
+    _signed(best).write.mode("append").partitionBy("stage").parquet(path)
+
+
+def read_best(spark: SparkSession, path: str) -> DataFrame:
+    """The best row of each stage that `upsert_best` stored; of equal ones the first written."""
+    w = W.partitionBy("stage").orderBy("mae", *WRITER)
+    stored = spark.read.parquet(path)
+    return stored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", *WRITER)

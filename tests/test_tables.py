@@ -34,7 +34,29 @@ def test_first_writer_wins(spark, tmp_path):
     rows = lambda v: spark.createDataFrame(v, "data_date date, v int")
     tb.append_new_dates(rows([(date(2024, 1, 1), 1)]), path)
     tb.append_new_dates(rows([(date(2024, 1, 1), 9), (date(2024, 1, 2), 2)]), path)
-    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 2]
+    assert sorted(r.v for r in tb.read_first_dates(spark, path).collect()) == [1, 2]
+
+
+def test_two_writers_at_once_leave_one_of_them(spark, tmp_path, monkeypatch):
+    """Both look before either has written, so both write the shared day."""
+    schema = "etf_code string, data_date date, v int"
+    first = [("E", date(2024, 1, 1), 1), ("E", date(2024, 1, 1), 2), (None, date(2024, 1, 3), 3)]
+    second = [("E", date(2024, 1, 1), 7), ("E", date(2024, 1, 2), 8), ("F", date(2024, 1, 1), 9)]
+    path, best = str(tmp_path / "t"), str(tmp_path / "best")
+    seen = tb._exists
+    monkeypatch.setattr(tb, "_exists", lambda *_: False)
+    for rows in (first, second):
+        tb.append_new_dates(spark.createDataFrame(rows, schema), path)
+    for param_id, mae in ((1, 3.0), (2, 2.0), (3, 2.0), (4, None)):
+        tb.upsert_best(spark.createDataFrame([("stage1", param_id, mae)], "stage string, param_id int, mae double"), best)
+    assert spark.read.parquet(path).count() == 6
+    assert sorted(r.v for r in tb.read_first_dates(spark, path).collect()) == [1, 2, 3, 8, 9]
+    assert [(r.stage, r.param_id, r.mae) for r in tb.read_best(spark, best).collect()] == [("stage1", 2, 2.0)]
+    monkeypatch.setattr(tb, "_exists", seen)
+    tb.append_new_dates(spark.createDataFrame(second, schema), path)
+    tb.upsert_best(spark.createDataFrame([("stage1", 5, 2.0), ("stage2", 6, 1.0), ("stage2", 7, 0.5)], "stage string, param_id int, mae double"), best)
+    assert sorted(r.v for r in tb.read_first_dates(spark, path).collect()) == [1, 2, 3, 8, 9]
+    assert {(r.stage, r.param_id) for r in tb.read_best(spark, best).collect()} == {("stage1", 2), ("stage2", 7)}
 
 
 def test_result_sink_replaces_only_its_dates(spark, tmp_path):
