@@ -8,6 +8,7 @@ band; the alignment gives the share of the template that is there, and where.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,9 +27,50 @@ GRAM = 3
 WINDOW = 2
 #: Words that an alignment may drift from its diagonal.
 BAND = 8
-LEAST_COVERAGE = 0.8
+#: Words that a match of a longer template has at least; of a template with fewer words every word must be there, as in
+#: "Licensed under CC BY-NC" each tells one licence from another.
+LEAST_WORDS = 12
 
-#: Notices and opening paragraphs of common public licences.
+#: Identifiers of common public licences, as a line "SPDX-License-Identifier" names them.
+IDENTIFIERS = (
+    "Apache-2.0 MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 "
+    "CC-BY-ND-4.0 CC-BY-NC-ND-4.0 MPL-2.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later"
+).split()
+
+#: The Creative Commons licences with their conditions.
+_COMMONS = ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")
+
+#: Spellings that count as one word.
+_SAME_WORDS = {b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed"}
+
+#: Passages that several licences share.
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Whole short licences, and the notices and headers by which works name the long ones.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 header": (
@@ -43,26 +85,49 @@ TEMPLATES = {
         "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
-        "of the Software."
+        "of the Software. " + _AS_IS
     ),
+    "MIT distribution notice": "Distributed under the MIT License",
+    "MIT use notice": "Licensed under the MIT License",
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
-        "above copyright notice and this permission notice appear in all copies."
-    ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
-        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL "
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE."
     ),
+    "BSD-2-Clause": _BSD_TWO + _BSD_END,
+    "BSD-3-Clause": _BSD_TWO + _BSD_THIRD + _BSD_END,
     "GPL notice": "This work is licensed under the GNU General Public License, version",
     "GPL header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "LGPL header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "AGPL header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "EPL-2.0 notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0"
+    ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC BY-NC notice": "Licensed under CC BY-NC",
-    "CC BY-SA notice": "Licensed under CC BY-SA",
+    **{f"CC {kind} notice": f"Licensed under CC {kind}" for kind in _COMMONS},
     "CC BY 4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring "
+        "rights to this work."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    **{f"SPDX {name}": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS},
 }
 
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, start long, end long"
@@ -75,7 +140,8 @@ class Index:
         self.names = sorted(templates)
         self.gram = gram
         ids: dict[bytes, int] = {}
-        self.words = [[ids.setdefault(w, len(ids) + 1) for w in words_of(templates[n])] for n in self.names]
+        self.words = [[ids.setdefault(_SAME_WORDS.get(w, w), len(ids) + 1) for w in words_of(templates[n])] for n in self.names]
+        ids.update({w: ids[same] for w, same in _SAME_WORDS.items() if same in ids})
         self.ids = ids
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
@@ -143,8 +209,8 @@ def align(template: list[int], words: list[int], diagonal: int, band: int = BAND
     return tuple(places[::-1])
 
 
-def _copies(template: list[int], hits: list[tuple[int, int]], listed: list[int], band: int, least: float) -> list[tuple[int, ...]]:
-    """Matched places of each copy of one template; `hits` are (place in the document, diagonal).
+def _copies(template: list[int], hits: list[tuple[int, int]], listed: list[int], band: int, least: int) -> list[tuple[int, ...]]:
+    """Matched places of each copy of one template, `least` of them or more; `hits` are (place in the document, diagonal).
 
     Copies share no word: each hit is aligned with the words between the copies before and after it that are known, so one
     of several copies within the band never stands for another.
@@ -161,29 +227,31 @@ def _copies(template: list[int], hits: list[tuple[int, int]], listed: list[int],
             if after < len(taken):
                 hi = min(hi, taken[after][0])
             matched = align(template, listed[lo:hi], diagonal - lo, band)
-            if not matched or len(matched) < least * len(template):
+            if len(matched) < least:
                 failed.append((diagonal, lo + matched[-1] + 1 if matched else hi))
                 break
             taken.insert(after, tuple(lo + j for j in matched))
     return taken
 
 
-def _best_covered(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, tuple[int, ...]]]:
-    """Those of `found` (template, matched places) whose words are not for the most part matched by a template with more words there.
+def _best_covered(found: list[tuple[int, tuple[int, ...]]], sizes: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """Those of `found` (template, matched places) whose words are not for the most part matched by a better template there.
 
-    Templates that match equally many stay both: the text does not tell which is meant.
+    Better is the one with more words there, of equal ones the shorter template, of which more is there. Templates that are
+    equal in both stay: the text does not tell which is meant.
     """
     kept = []
-    owner: dict[int, int] = {}  # most words of a kept match at a place
-    for t, places in sorted(found, key=lambda x: -len(x[1])):
-        if 2 * sum(owner.get(j, 0) > len(places) for j in places) < len(places):
+    owner: dict[int, tuple[int, int]] = {}  # the best kept match at a place
+    for t, places in sorted(found, key=lambda x: (-len(x[1]), sizes[x[0]])):
+        own = len(places), -sizes[t]
+        if 2 * sum(owner.get(j, own) > own for j in places) < len(places):
             kept.append((t, places))
             for j in places:
-                owner.setdefault(j, len(places))
+                owner.setdefault(j, own)
     return kept
 
 
-def _matches(text: str, words: list[bytes], ids: np.ndarray, index: Index, band: int, least: float) -> list[tuple]:
+def _matches(text: str, words: list[bytes], ids: np.ndarray, index: Index, band: int, least_coverage: float) -> list[tuple]:
     """(name, coverage, matched, start, end) of each template found, in code points, without repeats of one place."""
     by_template = defaultdict(list)
     for t, p, q in index.hits(ids):
@@ -191,7 +259,9 @@ def _matches(text: str, words: list[bytes], ids: np.ndarray, index: Index, band:
     if not by_template:
         return []
     listed = ids.tolist()
-    found = _best_covered([(t, places) for t, hits in by_template.items() for places in _copies(index.words[t], hits, listed, band, least)])
+    sizes = [len(x) for x in index.words]
+    least = [max(min(n, LEAST_WORDS), math.ceil(least_coverage * n)) for n in sizes]
+    found = _best_covered([(t, places) for t, hits in by_template.items() for places in _copies(index.words[t], hits, listed, band, least[t])], sizes)
     if not found:
         return []
     raw = text.encode("utf-8", "surrogatepass")
@@ -208,11 +278,12 @@ def _matches(text: str, words: list[bytes], ids: np.ndarray, index: Index, band:
     return sorted(rows, key=lambda x: (x[3], x[4], x[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = BAND, least_coverage: float = 0.0) -> DataFrame:
     """One row per place in `docs` (doc_id, text; other columns are ignored) where a template's words are found.
 
-    `coverage` is the share of the template's words that the alignment matches, at least `least_coverage`; `start` and `end`
-    are code points around the first and last of them. Copies in a row are a row each; where the words of one template lie for
+    `coverage` is the share of the template's words that the alignment matches, at least `least_coverage`; a part of a
+    template counts from LEAST_WORDS matched words on, a template with fewer words only as a whole. `start` and `end` are code
+    points around the first and last matched word. Licence and license are one word. Copies in a row are a row each; where the words of one template lie for
     the most part among the words of a longer match, only that one is reported. Words are runs of letters and digits; case does not count. NULL and
     empty texts have no rows. Repeated rows are reported once each. Templates without words are never found.
     """

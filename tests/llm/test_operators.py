@@ -221,7 +221,10 @@ def test_license_spans(spark, docs, empty):
     apache = license_scan.TEMPLATES["Apache-2.0 header"]
     changed = apache.replace("may not use", "must never use").replace("CONDITIONS OF ANY KIND", "CONDITIONS of any sort whatever")
     rows = [(1, "so é: Released under the MIT License. End"), (2, "x " * 500 + changed + " y" * 500), (3, text), (4, "released the license under MIT"), (5, None)]
-    found = {(r.doc_id, r.license): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    (part,) = license_scan.scan(frame.where("doc_id = 3")).collect()
+    assert part.license == "MIT" and part.matched_words == 22 and text[part.start : part.end].startswith("Permission is") and part.coverage < 0.2
+    found = {(r.doc_id, r.license): r for r in license_scan.scan(frame, least_coverage=0.8).collect()}
     mit = found[1, "MIT notice"]
     assert rows[0][1][mit.start : mit.end] == "Released under the MIT License" and mit.coverage == 1.0
     header = found[2, "Apache-2.0 header"]
@@ -251,6 +254,28 @@ def test_best_covered_license(spark):
     assert found[3] == ["Apache-2.0 header"] and found[4] == ["Apache-2.0 header", "CC BY-NC notice"]
 
 
+def test_named_licenses(spark):
+    template = license_scan.TEMPLATES
+    cases = {
+        "Licensed under CC BY-NC-SA 4.0": ["CC BY-NC-SA notice"],
+        "Licensed under CC BY 4.0": ["CC BY notice"],
+        "Released under the BSD License": [],
+        "Distributed under the MIT licence": ["MIT distribution notice"],
+        "x = 1  # SPDX-License-Identifier: Apache-2.0": ["SPDX Apache-2.0"],
+        "SPDX-License-Identifier: GPL-3.0-or-later": ["SPDX GPL-3.0-or-later"],
+        license_scan._AS_IS: ["MIT"],
+        template["MIT"][:300]: ["MIT"],
+        "permission is hereby granted to go, free of charge": [],
+        **{template[n]: [n] for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL header", "LGPL header", "AGPL header", "CC0", "EPL-2.0 notice", "Unlicense")},
+    }
+    rows = list(enumerate(cases))
+    found = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[rows[r.doc_id][1]].append(r.license)
+        assert (r.coverage == 1.0) == (r.matched_words == len(license_scan.words_of(template[r.license])))
+    assert {text: found[text] for text in cases} == cases
+
+
 # ---- 5
 
 
