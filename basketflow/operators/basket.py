@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -162,19 +162,49 @@ def assert_unique(shifted: DataFrame) -> DataFrame:
     )
 
 
+def _unique_by_stock(shifted: DataFrame, *more: Column) -> DataFrame:
+    """The rows as the windows of `shifted_weights` leave them, by stock and in order of
+    date. A second row for a (Date, stock) fails the job; values without a stock are NULL."""
+    w = W.partitionBy("stock").orderBy("Date")
+    twice = F.raise_error(F.concat(F.lit("duplicate weight row: "), F.col("stock")))
+    checked = shifted.withColumn("_twice", F.lag("Date").over(w) == F.col("Date"))
+    values = [
+        F.when(F.col("stock").isNotNull(), F.when(F.col("_twice"), twice).otherwise(F.col(c))).alias(c)
+        for c in present(shifted, ("volume", "weight"))
+    ]
+    return checked.select("Date", "stock", *values, *more)
+
+
+def _days(shifted: DataFrame) -> DataFrame:
+    """One row with the array of all days."""
+    days = shifted.select("Date").filter("Date IS NOT NULL").distinct()
+    return days.agg(F.array_sort(F.collect_list("Date")).alias("dates"))
+
+
 def dense_weights(shifted: DataFrame) -> DataFrame:
     """Every stock on every date; absent pairs have NULL values.
 
-    The result is the full grid by definition: the calendar is one row with an
-    array of days, which is joined to every stock and exploded there.
+    The result is the full grid by definition. It is neither joined nor sorted:
+    a row gives its own day and the days up to the stock's next row, the
+    stock's first row also those before it. The calendar, one row with an array
+    of days, is all that is broadcast.
     """
-    unique = assert_unique(shifted)
-    calendar = unique.agg(F.array_sort(F.collect_set("Date")).alias("dates"))
-    stocks = unique.select("stock").distinct().withColumn("_k", F.lit(1))
-    grid = stocks.join(calendar.withColumn("_k", F.lit(1)), "_k").select(
-        "stock", F.explode("dates").alias("Date")
+    calendar = _days(shifted)
+    places = calendar.select(F.posexplode("dates").alias("_place", "Date"))
+    w = W.partitionBy("stock").orderBy("Date")
+    # Rows without a date stand before all others: they only show that there is the stock.
+    place = F.coalesce("_place", F.lit(0))
+    begin = F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(place)
+    placed = shifted.join(F.broadcast(places), "Date", "left")
+    rows = _unique_by_stock(placed, begin.alias("_begin"), F.lead(place).over(w).alias("_end"))
+    upto = F.coalesce("_end", F.size("dates"))
+    days = F.slice("dates", F.col("_begin") + 1, upto - F.col("_begin"))
+    values = present(shifted, ("volume", "weight"))
+    return (
+        rows.crossJoin(F.broadcast(calendar))
+        .withColumn("_day", F.explode(days))
+        .select(F.col("_day").alias("Date"), "stock", *[F.when(F.col("_day") == F.col("Date"), F.col(c)).alias(c) for c in values])
     )
-    return grid.join(unique, ["Date", "stock"], "left")
 
 
 def all_stocks(shifted: DataFrame, most: int = 2000) -> list[str]:
@@ -201,11 +231,18 @@ def wide_weights(shifted: DataFrame, stocks: list[str] | None = None) -> DataFra
 def wide_maps(shifted: DataFrame) -> DataFrame:
     """One row per date with a map from every stock there is to its volume and
     weight, however many stocks there are. A second row for a date and stock is
-    an error."""
-    entry = F.struct("stock", F.struct("volume", "weight"))
-    dense = dense_weights(shifted)
-    return dense.groupBy("Date").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("stock").isNotNull(), entry))).alias("stocks")
+    an error.
+
+    Only rows that exist are shuffled by date; each date adds the stocks it lacks
+    from the list of all."""
+    entry = F.struct("stock", F.struct("volume", "weight").alias("at"))
+    rows = _unique_by_stock(shifted).filter("Date IS NOT NULL")
+    by_date = rows.groupBy("Date").agg(F.collect_list(F.when(F.col("stock").isNotNull(), entry)).alias("held"))
+    every = shifted.select("stock").filter("stock IS NOT NULL").distinct().agg(F.collect_list("stock").alias("every"))
+    nothing = F.struct(*[F.lit(None).cast(shifted.schema[c].dataType).alias(c) for c in ("volume", "weight")])
+    lacking = F.transform(F.array_except("every", "held.stock"), lambda s: F.struct(s.alias("stock"), nothing.alias("at")))
+    return by_date.crossJoin(F.broadcast(every)).select(
+        "Date", F.map_from_entries(F.concat("held", lacking)).alias("stocks")
     )
 
 

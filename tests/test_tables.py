@@ -406,3 +406,28 @@ def test_wide_csv_has_two_headers(spark, tmp_path):
     assert got == [(date(2024, 1, 1), "A", 3.0, None), (date(2024, 1, 1), "B", None, 0.5)]
     tb.write_wide_csv(ba.wide_maps(df.limit(0)), path)
     assert tb.read_wide_csv(spark, path).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_weights_neither_join_nor_sort_the_grid(spark):
+    """Rows of no date, of no stock, gaps on all sides. No exchange or join has the days of a stock."""
+    d = [date(2024, 1, i) for i in range(1, 6)]
+    rows = [(d[1], "A", 1.0, 0.1), (d[3], "A", 2.0, 0.2), (d[0], "B", 3.0, None), (None, "C", 4.0, 0.4), (None, "C", 4.0, 0.4)]
+    rows += [(None, "A", 5.0, 0.5), (d[4], None, 6.0, 0.6), (d[4], None, 7.0, 0.7), (d[0], None, 8.0, 0.8)]
+    df = spark.createDataFrame(rows, "Date date, stock string, volume double, weight double").repartition(3)
+    known = {(r[0], r[1]): r[2:] for r in rows if r[0] and r[1]}
+    want = [(day, s, *known.get((day, s), (None, None))) for day in (d[0], d[1], d[3], d[4]) for s in ("A", "B", "C", None)]
+    got = ba.dense_weights(df)
+    assert got.columns == ["Date", "stock", "volume", "weight"]
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    wide = sorted(map(tuple, ba.long_from_maps(ba.wide_maps(df)).collect()), key=key)
+    assert wide == sorted((r for r in want if r[1]), key=key)
+    for made in (ba.dense_weights, ba.wide_maps):
+        assert made(df.limit(0)).collect() == []
+        assert "SortMergeJoin" not in plan_of(made(df))
+    with pytest.raises(Exception, match="duplicate weight row: B"):
+        ba.dense_weights(df.unionByName(df.filter("stock = 'B'"))).collect()
