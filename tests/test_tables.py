@@ -431,3 +431,42 @@ def test_dense_weights_neither_join_nor_sort_the_grid(spark):
         assert "SortMergeJoin" not in plan_of(made(df))
     with pytest.raises(Exception, match="duplicate weight row: B"):
         ba.dense_weights(df.unionByName(df.filter("stock = 'B'"))).collect()
+
+
+def test_wide_csv_of_odd_lines(spark, tmp_path):
+    """Short and long lines, two lines of a date, two columns of a stock's measure, names with marks, no rows of a date shuffled."""
+    (tmp_path / "odd.csv").write_text(
+        ',A,A,"B,""x""",A,C\nDate,volume,weight,weight,volume,other\n'
+        "2024-01-01,1,0.1,0.2,3,9\n2024-01-02,5,x\n2024-01-03,1,,2,,,,7\n"
+        '2024-01-04,1,2,3,,\n"2024-01-04",4,,1,2,\n'
+    )
+    got = {(str(r[0]), r[1]): tuple(r[2:]) for r in tb.read_wide_csv(spark, str(tmp_path / "odd.csv")).collect()}
+    b = 'B,"x"'
+    assert got == {
+        ("2024-01-01", "A"): (3.0, 0.1), ("2024-01-01", b): (None, 0.2), ("2024-01-01", "C"): (None, None),
+        ("2024-01-02", "A"): (5.0, None), ("2024-01-02", b): (None, None),
+        ("2024-01-03", "A"): (1.0, None), ("2024-01-03", b): (None, 2.0), ("2024-01-03", "C"): (None, None), ("2024-01-03", None): (None, None),
+        ("2024-01-04", "A"): (4.0, 2.0), ("2024-01-04", b): (None, 3.0), ("2024-01-04", "C"): (None, None),
+    }
+
+
+def test_wide_csv_is_made_once(spark, tmp_path):
+    """The wide rows are computed by one pass, not again for the headers and the order."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(date(2024, 1, i), "A", 1.0, 0.5) for i in range(1, 8)], "Date date, stock string, volume double, weight double")
+    wide = ba.wide_maps(df).mapInArrow(counted, "Date date, stocks map<string, struct<volume: double, weight: double>>")
+    tb.write_wide_csv(wide, str(tmp_path / "wide"))
+    assert seen.value == 7
+    assert tb.read_wide_csv(spark, str(tmp_path / "wide")).count() == 7
+
+
+def test_lenient_dates(spark):
+    texts = ["2024-01-02", " 2024/01/02 ", "2024/1/2", "2024-01/02", "n/a", "", None, "2024-13-01", "2024/13/01"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(lenient_date(F.col("t"))).collect()
+    assert [str(r[0]) for r in rows] == ["2024-01-02", "2024-01-02", *["None"] * 7]
