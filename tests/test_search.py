@@ -1,5 +1,6 @@
 """The parameter search: counts from one join, dates in rounds, guided batches."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,42 @@ def test_a_search_without_any_result_draws_evenly_on(spark, tmp_path):
     log = str(tmp_path / "log")
     sw.search_stage(log, "s", RANGES, {}, 8, lambda p: p.withColumn("mae", F.lit(None).cast("double")), spark, startup=4, batch=4)
     assert spark.read.parquet(log).filter("mae IS NULL").count() == 8
+
+
+def test_steps_of_a_row_grow_with_records_not_with_pairs(spark):
+    """Of a stock's similar rows only those nearer in lots than all before them are kept, however many rows ask at once."""
+    n = 600
+    # One stock asks in one second, another follows with ever more distant lots, then with one nearer: two steps a row.
+    rows = [(0, "A", 100.0, 0)] + [(1 + k // 12, "B", 101.0 + k / 100, 1 + k % 12) for k in range(n)] + [(55, "B", 100.5, 0)]
+    masked = spark.createDataFrame(
+        [("d", 1, s, 0, stock, 1.0 + q, 1.0, 1.0, s * 10**9, lot, s * 10**9, 1) for s, stock, lot, q in rows],
+        "run_date string, side int, sec long, time_str int, stock string, quantity double, matched_vol double, matched_value double,"
+        " ts_ns long, num_lot double, block_start_ns long, mask long",
+    )
+    near = si.neighbour_stairs(masked, 0.5, 60)
+    kept = near.filter("stock = 'A'").select(F.explode(F.arrays_zip("near.stock", "near.after_ns", "near.lot")).alias("s")).select("s.*").collect()
+    per_stock = {}
+    for r in kept:
+        per_stock.setdefault(r.stock, []).append((r.after_ns // 10**9, r.lot))
+    assert sorted(per_stock.values()) == [[(0, 100.0)], [(1, 101.0), (55, 100.5)]]
+    assert near.count() == masked.count()
+
+
+@pytest.mark.parametrize("pairs, at_once", [(1, 1), (50, 3)])
+def test_stairs_in_small_parts_give_equal_steps(spark, monkeypatch, pairs, at_once):
+    """Parts of any size give all rows with the same steps; rows without lots or keys meet none."""
+    masked = si.snapshot_masks(blocks(spark, 60, 5, 300))
+    bare = masked.limit(1).withColumn("num_lot", F.lit(None).cast("double")).withColumn("stock", F.lit("bare"))
+    masked = masked.unionByName(bare).unionByName(bare.withColumn("side", F.lit(None).cast("int"))).cache()
+    whole = si.neighbour_stairs(masked, 0.4, 60).cache()
+    (cell,) = masked.filter("side = 1").withColumns({"asks": F.lit(True), "in_cell": F.lit(True)}).toArrow().combine_chunks().to_batches()
+
+    def steps_of():
+        parts = list(si._stairs(cell, 0.4, 60 * 10**9))
+        return [np.concatenate(x).tolist() for x in ([p for p, _ in parts], *zip(*[s for _, s in parts]))]
+
+    want = steps_of()
+    for name, value in (("MOST_PAIRS", pairs), ("ROWS_AT_ONCE", at_once)):
+        monkeypatch.setattr(si, name, value)
+    assert steps_of() == want and len(want[0]) == cell.num_rows
+    assert whole.count() == masked.count() and whole.filter("(num_lot IS NULL OR side IS NULL) AND size(near.stock) > 0").count() == 0
